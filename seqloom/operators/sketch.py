@@ -9,6 +9,7 @@ never fall below the true count (saturating at the counter's maximum).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,41 +27,57 @@ def _saturating(total: np.ndarray, dtype: np.dtype) -> np.ndarray:
     return np.minimum(total, np.iinfo(dtype).max).astype(dtype)
 
 
+def _pack(piece: np.ndarray) -> bytes:
+    return zlib.compress(piece.tobytes(), 1)
+
+
+def _unpack(blob: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), dtype)
+
+
 def cells(h: np.ndarray, width: int) -> np.ndarray:
     """Counter of each hash; `width` is a power of two."""
     return (h & np.uint64(width - 1)).astype(np.int64)
 
 
+def flags(marks: np.ndarray) -> np.ndarray:
+    """Boolean counters packed eight to a byte, for a broadcast."""
+    return np.packbits(marks, bitorder="little")
+
+
+def flagged(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the counters `at` are marked in `packed`."""
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def build_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], width: int, dtype: str = "uint16", fan_in: int = FAN_IN) -> np.ndarray:
     """Merged counters (`width` of them) of the hashes that `hashes` yields
-    for the batches of `df`. Empty input gives zeros."""
+    for the batches of `df`. Empty input gives zeros. `df` should be a scan: its
+    number of partitions is asked for, to know the number of rounds."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint32)
+        total = np.zeros(width, dtype)
         seen = False
         for batch in batches:
             for h in hashes(batch):
                 if len(h):
                     seen = True
-                    if len(h) * 4 > width:
-                        total += np.bincount(cells(h, width), minlength=width).astype(np.uint32)
-                    else:
-                        np.add.at(total, cells(h, width), np.uint32(1))
+                    at, n = np.unique(cells(h, width), return_counts=True)
+                    total[at] = _saturating(total[at].astype(np.int64) + n, np.dtype(dtype))
         if not seen:
             return
-        total = _saturating(total, np.dtype(dtype))
         part = TaskContext.get().partitionId()
         for t in range(0, width, TILE):
             piece = total[t : t + TILE]
             if piece.any():
-                yield pa.RecordBatch.from_pydict({"tile": pa.array([t // TILE], pa.int32()), "part": pa.array([part], pa.int64()), "cells": pa.array([piece.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"tile": pa.array([t // TILE], pa.int32()), "part": pa.array([part], pa.int64()), "cells": pa.array([_pack(piece)], pa.binary())})
 
     def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         total = None
         for c in rows["cells"]:
-            piece = np.frombuffer(c.as_buffer(), dtype).astype(np.uint64)
+            piece = _unpack(c.as_py(), dtype).astype(np.uint64)
             total = piece if total is None else total + piece
-        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "cells": pa.array([_saturating(total, np.dtype(dtype)).tobytes()], pa.binary())})
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "cells": pa.array([_pack(_saturating(total, np.dtype(dtype)))], pa.binary())})
 
     parts = max(1, df.rdd.getNumPartitions())
     tiles = df.mapInArrow(local, _SCHEMA)
@@ -70,7 +87,7 @@ def build_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.n
         if parts <= 1:
             break
     out = np.zeros(width, dtype)
-    for r in tiles.toLocalIterator():
-        piece = np.frombuffer(bytes(r["cells"]), dtype)
+    for r in tiles.collect():  # width counters at most, compressed
+        piece = _unpack(bytes(r["cells"]), dtype)
         out[r["tile"] * TILE : r["tile"] * TILE + len(piece)] = piece
     return out
