@@ -18,8 +18,8 @@ from .term_counts import count_terms, mark_terms
 from .top_items import top_items
 from .truncation import truncated, truncation_rates
 
-SEQUENCES = Settings(k=12, similarity=0.5, anchor_k=16, anchors=16)
-HEADERS = Settings(k=4, similarity=0.5, anchor_k=6, anchors=24)
+SEQUENCES = Settings(k=12, similarity=0.5, anchor_k=16)
+HEADERS = Settings(k=4, similarity=0.5, anchor_k=6, anchors=24, max_bucket=24)
 #: table, key, value, settings
 COMPARED = [("demultiplex", "name", "genomic_sequence", SEQUENCES), ("fasta", "name", "seq", SEQUENCES), ("blast", "sseqid", "sseqid", HEADERS)]
 
@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [near_duplicate_classes(table(spark, sf_dir, t), k, v, s).select(F.lit(t).alias("tbl"), "key", "class_hash", "copies", "links") for t, k, v, s in COMPARED]
+    parts = [near_duplicate_classes(table(spark, sf_dir, t), k, v, s).select(F.lit(t).alias("tbl"), "key", "class_id", "copies", "links") for t, k, v, s in COMPARED]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import chunks, code_points, window_hashes
-from ..operators.sketch import build_sketch, cells
+from ..operators.sketch import build_sketch, cells, flagged, flags
 from ..workdir import materialize
 
 WIDTH = 1 << 25
@@ -80,15 +80,14 @@ def shared_windows(records: DataFrame, length: int = 150, spread: int = 51, widt
             yield _fingerprints(texts[i:j], k, w)[0]
 
     counts = build_sketch(records.select("text"), hashes, width, "uint8")
-    repeated = records.sparkSession.sparkContext.broadcast(np.packbits(counts > 1, bitorder="little"))
+    repeated = records.sparkSession.sparkContext.broadcast(flags(counts > 1))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(repeated.value, bitorder="little")
         for batch in batches:
             ids, texts = batch.column("rec_id").to_numpy(), batch.column("text").to_pylist()
             for i, j in chunks(texts):
                 h, rows, start = _fingerprints(texts[i:j], k, w)
-                hit = flags[cells(h, width)] > 0
+                hit = flagged(repeated.value, cells(h, width))
                 if not hit.any():
                     continue
                 some = np.unique(rows[hit])
