@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,37 @@ def cells(h: np.ndarray, width: int) -> np.ndarray:
     return (h & np.uint64(width - 1)).astype(np.int64)
 
 
-def flags(marks: np.ndarray) -> np.ndarray:
-    """Boolean counters packed eight to a byte, for a broadcast."""
-    return np.packbits(marks, bitorder="little")
+def width_for(items: int, least: int = 1 << 18, most: int = 1 << 25) -> int:
+    """A power of two of at least `items` counters, within fixed bounds."""
+    return min(most, max(least, 1 << max(0, items - 1).bit_length()))
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """A merged sketch; the driver keeps its tiles compressed."""
+
+    width: int
+    dtype: str
+    tiles: dict[int, bytes]
+
+    def load(self) -> float:
+        """Mean of the counters: what chance adds to an estimate."""
+        return sum(float(_unpack(b, self.dtype).sum(dtype=np.uint64)) for b in self.tiles.values()) / self.width
+
+    def flags(self, least: int) -> np.ndarray:
+        """Which counters reach `least`, packed eight to a byte."""
+        out = np.zeros(self.width // 8, np.uint8)
+        for t, b in self.tiles.items():
+            piece = np.packbits(_unpack(b, self.dtype) >= least, bitorder="little")
+            out[t * TILE // 8 : t * TILE // 8 + len(piece)] = piece
+        return out
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(self.width, self.dtype)
+        for t, b in self.tiles.items():
+            piece = _unpack(b, self.dtype)
+            out[t * TILE : t * TILE + len(piece)] = piece
+        return out
 
 
 def flagged(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,8 +79,8 @@ def flagged(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def build_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], width: int, dtype: str = "uint16", fan_in: int = FAN_IN) -> np.ndarray:
-    """Merged counters (`width` of them) of the hashes that `hashes` yields
+def build_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], width: int, dtype: str = "uint16", fan_in: int = FAN_IN) -> Sketch:
+    """Merged sketch (`width` counters) of the hashes that `hashes` yields
     for the batches of `df`. Empty input gives zeros. `df` should be a scan: its
     number of partitions is asked for, to know the number of rounds."""
 
@@ -86,8 +115,5 @@ def build_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.n
         parts = -(-parts // fan_in)
         if parts <= 1:
             break
-    out = np.zeros(width, dtype)
-    for r in tiles.collect():  # width counters at most, compressed
-        piece = _unpack(bytes(r["cells"]), dtype)
-        out[r["tile"] * TILE : r["tile"] * TILE + len(piece)] = piece
-    return out
+    # at most `width` counters, compressed
+    return Sketch(width, dtype, {r["tile"]: bytes(r["cells"]) for r in tiles.collect()})
