@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import chunks, code_points, window_hashes
-from ..operators.sketch import build_sketch, cells, flagged, flags
+from ..operators.sketch import build_sketch, cells, flagged
 from ..workdir import materialize
 
 WIDTH = 1 << 25
@@ -79,8 +79,8 @@ def shared_windows(records: DataFrame, length: int = 150, spread: int = 51, widt
         for i, j in chunks(texts):
             yield _fingerprints(texts[i:j], k, w)[0]
 
-    counts = build_sketch(records.select("text"), hashes, width, "uint8")
-    repeated = records.sparkSession.sparkContext.broadcast(flags(counts > 1))
+    sketch = build_sketch(records.select("text"), hashes, width, "uint8")
+    repeated = records.sparkSession.sparkContext.broadcast(sketch.flags(2))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,6 +111,7 @@ def shared_windows(records: DataFrame, length: int = 150, spread: int = 51, widt
                 })
 
     windows = materialize(records.mapInArrow(regions, "h long, g int, rec_id long, start int"), "windows")
+    repeated.destroy()
     shared = windows.groupBy("h", "g").agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi")).where("lo < hi").select("h", "g")
     return windows.join(shared, ["h", "g"], "left_semi").select("rec_id", "start")
 

@@ -216,7 +216,7 @@ def truncation_scores(documents: DataFrame, sample: int = SAMPLE, seed: int = 11
     def gathered(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.concatenate([np.empty(0, np.uint64), *items(batch)])
 
-    counts = build_sketch(documents.select("text").where("text IS NOT NULL"), gathered, WIDTH)
+    counts = build_sketch(documents.select("text").where("text IS NOT NULL"), gathered, WIDTH).dense()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     limits = materialize(field_limits(docs.select("source_key", "n")), "limits")
     flagged = docs.join(limits.withColumn("at_limit", F.lit(True)), ["source_key", "n"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
