@@ -41,7 +41,7 @@ def cells(h: np.ndarray, width: int) -> np.ndarray:
     return (h & np.uint64(width - 1)).astype(np.int64)
 
 
-def width_for(items: int, least: int = 1 << 18, most: int = 1 << 25) -> int:
+def width_for(items: int, least: int = 1 << 18, most: int = 1 << 26) -> int:
     """A power of two of at least `items` counters, within fixed bounds."""
     return min(most, max(least, 1 << max(0, items - 1).bit_length()))
 
