@@ -8,9 +8,10 @@ Two passes over the texts:
    fingerprint inside. All fingerprints go into count-min sketches, one a
    partition, merged in fan-in rounds. The merged sketch overestimates counts:
    a fingerprint it estimates at one is in one record only.
-2. Around each fingerprint estimated at two or more, all windows of length L
-   are grouped exactly (by a 96-bit hash; min and max of the record ids tell
-   whether another record has the window, without ever gathering a group).
+2. Fingerprints estimated at two or more are grouped exactly: min and max of
+   their record ids tell whether another record has one, without ever gathering
+   a group. Around each that is repeated, all windows of length L are grouped
+   in the same way (by a 96-bit hash).
 
 No shared window is lost: it contains a repeated fingerprint, whose
 neighbourhood is grouped whole. The sketch's size is fixed; if a table fills it,
@@ -34,7 +35,8 @@ from ..functions.windows import chunks, code_points, window_hashes
 from ..operators.sketch import build_sketch, cells, flagged
 from ..workdir import materialize
 
-WIDTH = 1 << 25
+WIDTH = 1 << 26
+SHIFT = np.uint64(32)  # the second filter uses other bits of the hash
 
 
 def _winnow(h: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
@@ -79,15 +81,32 @@ def shared_windows(records: DataFrame, length: int = 150, spread: int = 51, widt
         for i, j in chunks(texts):
             yield _fingerprints(texts[i:j], k, w)[0]
 
-    sketch = build_sketch(records.select("text"), hashes, width, "uint8")
-    repeated = records.sparkSession.sparkContext.broadcast(sketch.flags(2))
+    context = records.sparkSession.sparkContext
+    estimated = context.broadcast(build_sketch(records.select("text"), hashes, width, "uint8").flags(2))
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("rec_id").to_numpy(), batch.column("text").to_pylist()
+            for i, j in chunks(texts):
+                h, rows, _ = _fingerprints(texts[i:j], k, w)
+                hit = flagged(estimated.value, cells(h, width))
+                yield pa.RecordBatch.from_pydict({"fp": h[hit].view(np.int64), "rec_id": ids[i:j][rows[hit]]})
+
+    grouped = records.mapInArrow(suspects, "fp long, rec_id long").groupBy("fp").agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi"))
+    exact = materialize(grouped.where("lo < hi").select("fp"), "fingerprints")
+    estimated.destroy()
+
+    def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column("fp").to_numpy().view(np.uint64) >> SHIFT
+
+    repeated = context.broadcast(build_sketch(exact, found, width, "uint8").flags(1))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("rec_id").to_numpy(), batch.column("text").to_pylist()
             for i, j in chunks(texts):
                 h, rows, start = _fingerprints(texts[i:j], k, w)
-                hit = flagged(repeated.value, cells(h, width))
+                hit = flagged(repeated.value, cells(h >> SHIFT, width))
                 if not hit.any():
                     continue
                 some = np.unique(rows[hit])
