@@ -53,3 +53,18 @@ def merge(df: DataFrame, name: str, seq: str, order: str, prefer: str = "first",
     cleaned = F.regexp_replace(name, cleanup, "") if cleanup else F.col(name)
     rows = df.select(cleaned.alias("name"), F.col(seq).alias("seq"), F.col(order).alias("_o")).where("seq IS NOT NULL")
     return rows.groupBy("seq").agg(pick("name", F.struct("_o", "name")).alias("name")).select("name", "seq")
+
+
+def export(df: DataFrame, name: str, seq: str, description: str | None = None, case: str | None = None, name_filter: str | None = None, description_filter: str | None = None, min_cases: int = 1, cleanup: str | None = None) -> DataFrame:
+    """(header, seq), one record a (name, seq): rows pass the filters (patterns
+    found anywhere; null fails), then (name, seq) pairs need `min_cases` distinct
+    cases; `cleanup` is removed from the header, which gets the smallest
+    description appended."""
+    rows = df.select(F.col(name).alias("name"), F.col(seq).alias("seq"), (F.col(description) if description else F.lit(None).cast("string")).alias("description"), (F.col(case) if case else F.lit("")).alias("case"))
+    rows = rows.where("name IS NOT NULL AND seq IS NOT NULL")
+    for c, p in (("name", name_filter), ("description", description_filter)):
+        if p:
+            rows = rows.where(F.coalesce(F.col(c).rlike(p), F.lit(False)))
+    kept = rows.groupBy("name", "seq").agg(F.count_distinct("case").alias("cases"), F.min("description").alias("description")).where(F.col("cases") >= min_cases)
+    head = F.trim(F.regexp_replace("name", cleanup, "")) if cleanup else F.col("name")
+    return kept.select(F.concat_ws(" ", head, "description").alias("header"), "seq")

@@ -46,6 +46,43 @@ def matches(reads: DataFrame, alleles: DataFrame, gene: str, affix: int = 13, ex
     return pairs.select("well", "case", "db_name", "sequence", *[c.alias(n) for n, c in parts.items() if keep is None or n in keep])
 
 
+def near_border(gene: str, read: Column, start: Column, end: Column, extension: int, border: int) -> Column:
+    """Whether the flank of `extension` reaches the outer `border` characters of
+    the read: at its end for V, at its start for J, either for D."""
+    n = F.length(read)
+    right, left = F.least(end + extension, n), F.greatest(F.lit(1), start - extension)
+    at_end = (end + 1 <= right) & (right >= F.greatest(F.lit(1), n - border + 1))
+    at_start = (left <= start - 1) & (left <= F.least(F.lit(border), n))
+    return {"V": at_end, "J": at_start, "D": at_end | at_start}[gene]
+
+
+def border_statistics(reads: DataFrame, alleles: DataFrame, gene: str, extension: int, border: int) -> DataFrame:
+    """(case, gene, matched_total, accepted_total, rejected_border,
+    rejected_ratio) of the matches of each case and gene."""
+    pairs = contains(reads.select("case", "genomic_sequence"), "genomic_sequence", alleles.select(F.col("name").alias("db_name"), F.col("seq").alias("sequence")), "sequence")
+    rejected = near_border(gene, F.col("genomic_sequence"), F.col("start"), F.col("start") + F.length("sequence") - 1, extension, border)
+    counts = pairs.select("case", gene_of("db_name").alias("gene"), rejected.alias("_r")).groupBy("case", "gene").agg(F.count("*").alias("matched_total"), F.count_if(~F.col("_r")).alias("accepted_total"), F.count_if("_r").alias("rejected_border"))
+    return counts.withColumn("rejected_ratio", F.col("rejected_border") / F.col("matched_total"))
+
+
+def border_by_gene(statistics: DataFrame) -> DataFrame:
+    """(gene, mean_rejected_ratio, matched_total, rejected_border, num_donors)."""
+    return statistics.groupBy("gene").agg(F.avg("rejected_ratio").alias("mean_rejected_ratio"), F.sum("matched_total").alias("matched_total"), F.sum("rejected_border").alias("rejected_border"), F.count("*").alias("num_donors"))
+
+
+def calibrated_extensions(reads: DataFrame, alleles: DataFrame, gene: str, extension: int, border: int, quantile: float) -> DataFrame:
+    """(gene, extension): per gene the length that a share `quantile` of its
+    matches allows without reaching the border; V looks right, J left."""
+    if gene not in ("V", "J"):
+        raise ValueError("gene must be V or J")
+    pairs = contains(reads.select("genomic_sequence"), "genomic_sequence", alleles.select(F.col("name").alias("db_name"), F.col("seq").alias("sequence")), "sequence")
+    n, end = F.length("genomic_sequence"), F.col("start") + F.length("sequence") - 1
+    room = F.greatest(F.lit(1), n - border + 1) - 1 - end if gene == "V" else F.col("start") - 1 - F.least(F.lit(border), n)
+    allowed = F.least(F.lit(extension), F.greatest(F.lit(0), room)).cast("long")
+    rows = pairs.select(gene_of("db_name").alias("gene"), allowed.alias("a"))
+    return rows.groupBy("gene").agg(F.expr(f"percentile_disc({1 - quantile!r}) WITHIN GROUP (ORDER BY a)").cast("long").alias("extension"))
+
+
 def exact_search(found: DataFrame, min_count: int = 10, min_ratio: float = 0.01, top: int = 10, exempt: tuple[str, ...] = ()) -> DataFrame:
     """Counts of `matches`: full_count per distinct row, count per allele; both
     also as ratios to the maximum of (well, case, gene), taken before any

@@ -51,6 +51,22 @@ def exact_extension(spark, d):
     return exact.exact_search(exact.matches(_reads(spark, d), _alleles(spark, d, "V"), "V", extension=20), 1, 0.05, 2)
 
 
+def border_statistics(spark, d):
+    return exact.border_statistics(_reads(spark, d), _alleles(spark, d, "V"), "V", 40, 20)
+
+
+def border_by_gene(spark, d):
+    return exact.border_by_gene(border_statistics(spark, d))
+
+
+def border_extensions(spark, d):
+    return exact.calibrated_extensions(_reads(spark, d), _alleles(spark, d, "J"), "J", 40, 20, 0.75)
+
+
+def fasta_export(spark, d):
+    return keysets.export(table(spark, d, "fasta"), "name", "seq", "description", "file", name_filter="^IG[HK]V", description_filter="allele", min_cases=1, cleanup="[*]")
+
+
 def exact_frequencies(spark, d):
     return exact.frequencies(exact_counts(spark, d), "IGHV", 0.1, 0.1)
 
@@ -210,7 +226,7 @@ def blast_best_hit(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_counts, exact_v, exact_d, exact_j, exact_extension, exact_frequencies, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
+    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_frequencies, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
     cooccurrence_edges, cooccurrence_stats, cooccurrence_clusters, haplotype_calls, table_select, table_filter_pattern, table_filter_number, table_transform, table_aggregate, table_unique, table_sort,
     table_leftjoin, table_outerjoin, table_collect, table_exclude, filters_chain, filters_account, keyset_union, keyset_intersect, keyset_difference, fasta_diff,
     fasta_merge_first, fasta_merge_last, fasta_hash, sequence_functions, blast_best_hit,
@@ -272,7 +288,16 @@ _EDGES = """WITH a AS (SELECT "case" AS c, allele_1 AS a FROM haplotype WHERE "c
   p AS (SELECT x.a AS allele_a, y.a AS allele_b, count(*) AS n_shared FROM s x JOIN s y ON x.c = y.c AND x.a < y.a GROUP BY 1, 2),
   e AS (SELECT allele_a, allele_b, ka.n AS n_a, kb.n AS n_b, n_shared, n_shared::DOUBLE / (ka.n + kb.n - n_shared) AS jaccard, ka.n::DOUBLE * (t.n - ka.n) * kb.n * (t.n - kb.n) AS v, t.n * n_shared - ka.n * kb.n AS o FROM p, t, k ka, k kb WHERE ka.a = allele_a AND kb.a = allele_b)"""
 
+_BORDER = f"""WITH p AS (SELECT d."case", split_part(a.name, '*', 1) AS gene, instr(r, a.seq) + length(a.seq) - 1 AS e, length(r) AS n FROM (SELECT *, genomic_sequence AS r FROM demultiplex) d JOIN allele_db a ON instr(r, a.seq) > 0 WHERE a.seq <> '' {_type('V')}),
+  j AS (SELECT "case", gene, e + 1 <= least(e + 40, n) AND least(e + 40, n) >= greatest(1, n - 19) AS r FROM p),
+  b AS (SELECT "case", gene, count(*) AS matched_total, count(*) FILTER (NOT r) AS accepted_total, count(*) FILTER (r) AS rejected_border, count(*) FILTER (r)::DOUBLE / count(*) AS rejected_ratio FROM j GROUP BY 1, 2)"""
+
 SQL = {
+    "border_statistics": f"{_BORDER} SELECT * FROM b",
+    "border_by_gene": f"{_BORDER} SELECT gene, avg(rejected_ratio) AS mean_rejected_ratio, CAST(sum(matched_total) AS BIGINT) AS matched_total, CAST(sum(rejected_border) AS BIGINT) AS rejected_border, count(*) AS num_donors FROM b GROUP BY 1",
+    "border_extensions": f"""SELECT gene, quantile_disc(v, 0.25) AS extension FROM (SELECT split_part(a.name, '*', 1) AS gene, least(40, greatest(0, instr(r, a.seq) - 1 - least(20, length(r)))) AS v
+      FROM (SELECT genomic_sequence AS r FROM demultiplex) d JOIN allele_db a ON instr(r, a.seq) > 0 WHERE a.seq <> '' {_type('J')}) GROUP BY 1""",
+    "fasta_export": "SELECT concat_ws(' ', trim(replace(name, '*', '')), min(description)) AS header, seq FROM fasta WHERE seq IS NOT NULL AND regexp_matches(name, '^IG[HK]V') AND regexp_matches(description, 'allele') GROUP BY name, seq",
     "cooccurrence_stats": f"{_EDGES} SELECT allele_a, allele_b, n_a, n_b, n_shared, jaccard, CASE WHEN v <= 0 THEN 0 ELSE o / sqrt(v) END AS rho FROM e WHERE n_shared >= 3 AND jaccard >= 0.05",
     "exact_counts": f"{_COUNTS} SELECT * FROM exact",
     "exact_v": f"{_EXACT_V} SELECT * FROM exact",

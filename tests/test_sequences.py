@@ -94,3 +94,25 @@ def test_demultiplex(spark):
     idx = spark.createDataFrame([(1, "AAC", "GGT", "D1"), (2, "AAC", "GGT", "D2"), (3, "CCC", "TTT", "D3")], "well long, forward_index string, reverse_index string, case string")
     reads = spark.createDataFrame([("r1", "AACxxxxGGT"), ("r2", "CCCxTTT"), ("r3", "CCCxGGT"), ("r4", None), ("r5", "AACGGT")], "name string, genomic_sequence string")
     assert sorted(map(tuple, exact.demultiplex(reads, idx, min_length=7).collect())) == [("r1", 1, "D1"), ("r2", 3, "D3")]
+
+
+def test_borders(spark):
+    df = spark.createDataFrame([(READ,)], "r string")
+
+    def rejects(gene, ext, border):
+        return df.select(exact.near_border(gene, F.col("r"), F.lit(16), F.lit(29), ext, border)).first()[0]
+
+    assert [rejects("V", *x) for x in ((40, 10), (30, 10), (45, 1), (44, 1))] == [True, False, True, False]
+    assert [rejects("J", *x) for x in ((5, 10), (5, 11), (10, 5), (10, 6))] == [False, True, False, True]
+
+
+def test_stream_counts_as_batch(spark, tmp_path):
+    from seqloom.streaming.reads import case_counts
+
+    rows = spark.createDataFrame([("a", "ACGT", "2021-03-01 04:10:00"), ("a", "AC", "2021-03-01 04:50:00"), ("b", None, "2021-03-01 05:10:00")], "case string, genomic_sequence string, t string").select("case", "genomic_sequence", F.to_timestamp("t").alias("read_ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    want = sorted(map(tuple, case_counts(rows).collect()), key=str)
+    q = case_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("counts").collect()), key=str) == want
