@@ -80,5 +80,24 @@ def gene_type(name: str | Column) -> Column:
     return F.when(name.contains("V"), "V").when(name.contains("D"), "D").when(name.contains("J"), "J")
 
 
+def kmers(s: str | Column, k: int) -> Column:
+    """Distinct substrings of length k; an empty array for shorter strings."""
+    s = col(s)
+    positions = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(positions, lambda i: F.substring(s, i, F.lit(k))))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Longest common prefix of two strings."""
+    n = F.least(F.length(a), F.length(b))
+    same = lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)
+    sizes = F.filter(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), same)
+    return F.left(a, F.coalesce(F.array_max(sizes), F.lit(0)))
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    return F.reverse(common_prefix(F.reverse(a), F.reverse(b)))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -46,6 +46,27 @@ def matches(reads: DataFrame, alleles: DataFrame, gene: str, affix: int = 13, ex
     return pairs.select("well", "case", "db_name", "sequence", *[c.alias(n) for n, c in parts.items() if keep is None or n in keep])
 
 
+def reference_ratio(found: DataFrame, reference: str) -> DataFrame:
+    """Adds `ref_ratio` and `ref_gene_ratio`: an allele's count, and its gene's
+    in the case, to the largest count of an allele of `reference` in the same
+    well and case (1 where there is none)."""
+    case = Window.partitionBy("well", "case")
+    ref = F.coalesce(F.max(F.when(F.col("db_name").startswith(reference), F.col("count"))).over(case), F.lit(1))
+    genes = F.sum("count").over(Window.partitionBy("well", "case", "gene"))
+    return found.withColumn("ref_gene_count", genes.cast("long")).withColumn("ref_ratio", fdiv(F.col("count"), ref)).withColumn("ref_gene_ratio", fdiv(F.col("ref_gene_count"), ref))
+
+
+def resolve_subjects(hits: DataFrame, subject: str, alleles: DataFrame) -> DataFrame:
+    """(subject, db_name) of each distinct subject: the allele of that name, else
+    of the name without a trailing _S and digits; null if neither is known."""
+    names = alleles.select(F.col("name").alias("db_name")).distinct()
+    own = hits.select(F.col(subject).alias("subject")).where("subject IS NOT NULL").distinct()
+    stripped = F.regexp_replace("subject", r"_S\d+$", "")
+    exact_ = names.select(F.col("db_name").alias("_a"))
+    rows = own.join(exact_, F.col("subject") == F.col("_a"), "left").join(names.withColumnRenamed("db_name", "_b"), stripped == F.col("_b"), "left")
+    return rows.select("subject", F.coalesce("_a", "_b").alias("db_name"))
+
+
 def near_border(gene: str, read: Column, start: Column, end: Column, extension: int, border: int) -> Column:
     """Whether the flank of `extension` reaches the outer `border` characters of
     the read: at its end for V, at its start for J, either for D."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cigar_leading_skip, cigar_span, gene_of, hamming, reverse_complement, sequence_hash, unique_name
+from ..functions.exprs import cigar_leading_skip, cigar_span, common_prefix, common_suffix, gene_of, hamming, kmers, reverse_complement, sequence_hash, unique_name
 from ..operators import filters, keysets, tables
 from ..workdir import table
 from . import cohort, exact
@@ -67,6 +67,27 @@ def fasta_export(spark, d):
     return keysets.export(table(spark, d, "fasta"), "name", "seq", "description", "file", name_filter="^IG[HK]V", description_filter="allele", min_cases=1, cleanup="[*]")
 
 
+def exact_reference_ratio(spark, d):
+    return exact.reference_ratio(exact_counts(spark, d), "IGHV3")
+
+
+def subject_names(spark, d):
+    headers = table(spark, d, "blast").select(F.split_part("sseqid", F.lit("|"), F.lit(1)).alias("subject"))
+    return exact.resolve_subjects(headers, "subject", _alleles(spark, d))
+
+
+def allele_kmers(spark, d):
+    """In how many alleles each 8-mer occurs, where that is more than one."""
+    return _alleles(spark, d).select(F.explode(kmers("seq", 8)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def allele_common_ends(spark, d):
+    """Longest common prefix and suffix of the alleles of a gene, pair by pair."""
+    db = _alleles(spark, d).withColumn("gene", gene_of("name"))
+    first = db.groupBy("gene").agg(F.min_by("seq", "name").alias("first"))
+    return db.join(first, "gene").select("name", common_prefix(F.col("first"), F.col("seq")).alias("prefix"), common_suffix(F.col("first"), F.col("seq")).alias("suffix"))
+
+
 def exact_frequencies(spark, d):
     return exact.frequencies(exact_counts(spark, d), "IGHV", 0.1, 0.1)
 
@@ -226,7 +247,7 @@ def blast_best_hit(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_frequencies, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
+    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
     cooccurrence_edges, cooccurrence_stats, cooccurrence_clusters, haplotype_calls, table_select, table_filter_pattern, table_filter_number, table_transform, table_aggregate, table_unique, table_sort,
     table_leftjoin, table_outerjoin, table_collect, table_exclude, filters_chain, filters_account, keyset_union, keyset_intersect, keyset_difference, fasta_diff,
     fasta_merge_first, fasta_merge_last, fasta_hash, sequence_functions, blast_best_hit,
@@ -292,7 +313,16 @@ _BORDER = f"""WITH p AS (SELECT d."case", split_part(a.name, '*', 1) AS gene, in
   j AS (SELECT "case", gene, e + 1 <= least(e + 40, n) AND least(e + 40, n) >= greatest(1, n - 19) AS r FROM p),
   b AS (SELECT "case", gene, count(*) AS matched_total, count(*) FILTER (NOT r) AS accepted_total, count(*) FILTER (r) AS rejected_border, count(*) FILTER (r)::DOUBLE / count(*) AS rejected_ratio FROM j GROUP BY 1, 2)"""
 
+_lcp = lambda a, b: f"left({a}, coalesce(list_max(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: left({a}, i) = left({b}, i))), 0))"
+
 SQL = {
+    "exact_reference_ratio": f"""{_COUNTS}, r AS (SELECT *, coalesce(max(CASE WHEN starts_with(db_name, 'IGHV3') THEN "count" END) OVER (PARTITION BY well, "case"), 1) AS ref, CAST(sum("count") OVER (PARTITION BY well, "case", gene) AS BIGINT) AS ref_gene_count FROM exact)
+      SELECT * EXCLUDE (ref), "count"::DOUBLE / ref AS ref_ratio, ref_gene_count::DOUBLE / ref AS ref_gene_ratio FROM r""",
+    "subject_names": r"""WITH s AS (SELECT DISTINCT split_part(sseqid, '|', 1) AS subject FROM blast WHERE sseqid IS NOT NULL), n AS (SELECT DISTINCT name FROM allele_db)
+      SELECT subject, coalesce(a.name, b.name) AS db_name FROM s LEFT JOIN n a ON subject = a.name LEFT JOIN n b ON regexp_replace(subject, '_S\d+$', '') = b.name""",
+    "allele_kmers": "SELECT kmer, count(*) AS n FROM (SELECT DISTINCT name, seq, substr(seq, i, 8) AS kmer FROM allele_db, range(1, length(seq) - 6) t(i)) GROUP BY 1 HAVING count(*) > 1",
+    "allele_common_ends": f"""WITH f AS (SELECT split_part(name, '*', 1) AS gene, arg_min(seq, name) AS x FROM allele_db GROUP BY 1)
+      SELECT name, {_lcp('x', 'seq')} AS prefix, reverse({_lcp('reverse(x)', 'reverse(seq)')}) AS suffix FROM allele_db JOIN f ON gene = split_part(name, '*', 1)""",
     "border_statistics": f"{_BORDER} SELECT * FROM b",
     "border_by_gene": f"{_BORDER} SELECT gene, avg(rejected_ratio) AS mean_rejected_ratio, CAST(sum(matched_total) AS BIGINT) AS matched_total, CAST(sum(rejected_border) AS BIGINT) AS rejected_border, count(*) AS num_donors FROM b GROUP BY 1",
     "border_extensions": f"""SELECT gene, quantile_disc(v, 0.25) AS extension FROM (SELECT split_part(a.name, '*', 1) AS gene, least(40, greatest(0, instr(r, a.seq) - 1 - least(20, length(r)))) AS v
