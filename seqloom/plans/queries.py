@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import cigar_leading_skip, cigar_span, common_prefix, common_suffix, gene_of, hamming, kmers, reverse_complement, sequence_hash, unique_name
 from ..operators import filters, keysets, tables
 from ..workdir import table
-from . import cohort, exact
+from . import cohort, dscan, exact, trimming
 
 # Heptamer motifs by locus
 HEPTAMERS = {
@@ -92,12 +92,29 @@ def exact_frequencies(spark, d):
     return exact.frequencies(exact_counts(spark, d), "IGHV", 0.1, 0.1)
 
 
+def d_scan(spark, d):
+    """D genes found in all reads by a model trained on the exact matches."""
+    known = exact.matches(_reads(spark, d), _alleles(spark, d, "D"), "D")
+    return dscan.scan_reads(dscan.train(known), _reads(spark, d), min_posterior=0.5)
+
+
+def trim_barcodes(spark, d):
+    """Barcodes put on all reads and trimmed again by alignment."""
+    coded = _coded(spark, d).join(_indices(spark, d).select("well", "forward_index", "reverse_index"), "well")
+    out = trimming.trimmed(coded, "genomic_sequence", "forward_index", "reverse_index", "plain")
+    return out.select("name", "aln_qseq", "aln_status", "aln_mismatch")
+
+
+def _coded(spark, d):
+    """Distinct (name, well, plain, genomic_sequence): the table's reads lost
+    their barcodes, so the well's own are put back at both ends."""
+    rows = _reads(spark, d).select("name", "well", F.col("genomic_sequence").alias("plain")).distinct()
+    return rows.join(_indices(spark, d).select("well", "forward_index", "reverse_index"), "well").select("name", "well", "plain", F.concat("forward_index", "plain", "reverse_index").alias("genomic_sequence"))
+
+
 def demultiplex(spark, d):
-    rows = _reads(spark, d).select("name", F.col("genomic_sequence")).distinct()
-    # the table's reads lost their barcodes: put the well's own back at both ends
     idx = _indices(spark, d)
-    wells = _reads(spark, d).select("name", "well").distinct()
-    coded = rows.join(wells, "name").join(idx.select("well", "forward_index", "reverse_index"), "well").select("name", F.concat("forward_index", "genomic_sequence", "reverse_index").alias("genomic_sequence"))
+    coded = _coded(spark, d).select("name", "genomic_sequence").distinct()
     return exact.demultiplex(coded, idx, min_length=100)
 
 
@@ -247,7 +264,7 @@ def blast_best_hit(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
+    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, d_scan, trim_barcodes, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
     cooccurrence_edges, cooccurrence_stats, cooccurrence_clusters, haplotype_calls, table_select, table_filter_pattern, table_filter_number, table_transform, table_aggregate, table_unique, table_sort,
     table_leftjoin, table_outerjoin, table_collect, table_exclude, filters_chain, filters_account, keyset_union, keyset_intersect, keyset_difference, fasta_diff,
     fasta_merge_first, fasta_merge_last, fasta_hash, sequence_functions, blast_best_hit,
