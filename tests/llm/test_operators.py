@@ -76,6 +76,22 @@ def test_large_family_is_joined(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_hot_family_of_mixed_lengths(spark):
+    """Short variants, hot throughout, against texts about half of which is the
+    family's core: no common anchor, whatever the sampled windows say."""
+    rng = random.Random(11)
+    rows = []
+    for f in range(3):
+        core = dna(rng, 200)
+        short = [core[rng.randrange(6) : 200 - rng.randrange(6)] for _ in range(30)]
+        longer = [dna(rng, n // 2) + core + dna(rng, n - n // 2) for n in (rng.randrange(125, 180) for _ in range(60))]
+        rows += [(f"f{f}_{i:03d}", x) for i, x in enumerate(short + longer)]
+    want = brute_pairs(rows, 12, 0.5)
+    mixed = {p for p in want if (p[0][3:] < "030") != (p[1][3:] < "030")}
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "key string, value string"), "key", "value").collect()}
+    assert len(mixed) > 2000 and got <= want and len(got & mixed) >= 0.97 * len(mixed)
+
+
 def test_manhattan_is_a_lower_bound():
     rng = random.Random(1)
     texts = [dna(rng, 200) for _ in range(20)] + family(rng, 200)
