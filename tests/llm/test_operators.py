@@ -92,6 +92,25 @@ def test_hot_family_of_mixed_lengths(spark):
     assert len(mixed) > 2000 and got <= want and len(got & mixed) >= 0.97 * len(mixed)
 
 
+@pytest.mark.parametrize("n, k", [(20, 4), (60, 4), (110, 12), (160, 12), (300, 12)])
+def test_bands_join_texts_of_any_length(n, k):
+    """Pairs at J 0.5 to 0.55 made of a shared part and own parts of letters."""
+    rng = random.Random(n)
+    word = lambda m: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=m))
+    pairs = []
+    while len(pairs) < 300:
+        shared, own = word(2 * n // 3 + k), n // 3
+        a, b = shared + word(own - k // 2), shared + word(own - k // 2)
+        both, either = near_duplicates.shared_windows(a, b, k)
+        if 0.5 <= both / either:
+            pairs.append((a, b))
+    rows, keys = near_duplicates._band_keys([x for p in pairs for x in p], k)
+    found = {}
+    for r, x in zip(rows.tolist(), keys.tolist()):
+        found.setdefault(r, set()).add(x)
+    assert sum(bool(found[2 * i] & found[2 * i + 1]) for i in range(len(pairs))) >= 0.99 * len(pairs)
+
+
 def test_manhattan_is_a_lower_bound():
     rng = random.Random(1)
     texts = [dna(rng, 200) for _ in range(20)] + family(rng, 200)
