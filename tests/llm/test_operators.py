@@ -92,6 +92,15 @@ def test_hot_family_of_mixed_lengths(spark):
     assert len(mixed) > 2000 and got <= want and len(got & mixed) >= 0.97 * len(mixed)
 
 
+def test_repeats_of_a_unit_are_near_duplicates(spark):
+    """The same distinct windows, however often repeated."""
+    rng = random.Random(13)
+    unit, end = dna(rng, 40), dna(rng, 200)
+    rows = [("a", unit * 3), ("b", unit * 8), ("c", unit * 30), ("n1", end + "N" * 50), ("n2", end + "N" * 900), ("x", dna(rng, 300))]
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "key string, value string"), "key", "value").collect()}
+    assert got == brute_pairs(rows, 12, 0.5) == {("a", "b"), ("a", "c"), ("b", "c"), ("n1", "n2")}
+
+
 @pytest.mark.parametrize("n, k", [(20, 4), (60, 4), (110, 12), (160, 12), (300, 12)])
 def test_bands_join_texts_of_any_length(n, k):
     """Pairs at J 0.5 to 0.55 made of a shared part and own parts of letters."""
