@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,21 @@ def nearest_allele(spark, d):
     return exact.nearest(table(spark, d, "heptamer"), "sequence", _alleles(spark, d, locus="IGHV"))
 
 
+def heptamer_search_loci(spark, d):
+    """heptamer_search for every locus that has motifs, each with its own."""
+    parts = [exact.heptamer_search(_reads(spark, d), _alleles(spark, d, locus=locus), motifs, 1, end=3) for locus, motifs in HEPTAMERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def heptamer_summary_loci(spark, d):
+    return exact.heptamer_summary(heptamer_search_loci(spark, d), 2, 0.05)
+
+
+def nearest_allele_all(spark, d):
+    """nearest_allele among the alleles of all loci."""
+    return exact.nearest(table(spark, d, "heptamer"), "sequence", _alleles(spark, d))
+
+
 def pwm_profile(spark, d):
     return exact.profile(table(spark, d, "heptamer").where("length(trim(heptamer)) = 7").select(F.trim("heptamer").alias("h")), "h")
 
@@ -264,7 +281,7 @@ def blast_best_hit(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, d_scan, trim_barcodes, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
+    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, d_scan, trim_barcodes, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, heptamer_search_loci, heptamer_summary_loci, nearest_allele_all, pwm_profile,
     cooccurrence_edges, cooccurrence_stats, cooccurrence_clusters, haplotype_calls, table_select, table_filter_pattern, table_filter_number, table_transform, table_aggregate, table_unique, table_sort,
     table_leftjoin, table_outerjoin, table_collect, table_exclude, filters_chain, filters_account, keyset_union, keyset_intersect, keyset_difference, fasta_diff,
     fasta_merge_first, fasta_merge_last, fasta_hash, sequence_functions, blast_best_hit,

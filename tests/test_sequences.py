@@ -45,6 +45,20 @@ def test_heptamers(spark):
     assert out == want
 
 
+def test_every_locus_is_searched(spark, tmp_path):
+    from seqloom.plans import queries
+
+    alleles = {"IGHV1*01": "GATTACAGATTACAAAA", "IGKV1*01": "GGTCCATTGGTCCAAAA", "IGLV1*01": "CTTAGGCTTAGGATAAA", "IGHJ1*01": "TTTGGGTTTGGGCCCAA"}
+    motifs = {"IGHV": "CACAGCG", "IGKV": "CACACTG", "IGLV": "CATGGTG"}
+    reads = [(1, "D1", f"r{i}", alleles[x][:-3] + "TT" + motifs.get(x[:4], "CACAGTG") + "TTT") for i, x in enumerate(alleles) for _ in range(2)]
+    spark.createDataFrame(list(alleles.items()), "name string, seq string").write.parquet(str(tmp_path / "allele_db.parquet"))
+    spark.createDataFrame(reads, "well long, case string, name string, genomic_sequence string").write.parquet(str(tmp_path / "demultiplex.parquet"))
+    spark.createDataFrame([(s[1:],) for s in alleles.values()] + [(None,)], "sequence string").write.parquet(str(tmp_path / "heptamer.parquet"))
+    got = {(r.db_name, r.sequence, r.heptamer, r["count"]) for r in queries.heptamer_summary_loci(spark, str(tmp_path)).collect()}
+    assert got == {(x, alleles[x][:-3] + "TT", motifs[x[:4]], 2) for x in alleles if x[:4] in motifs}
+    assert {(r.value, r.nearest, r.distance) for r in queries.nearest_allele_all(spark, str(tmp_path)).collect()} == {(s[1:], x, 1) for x, s in alleles.items()}
+
+
 def test_cohort(spark):
     sets = {"D1": "AB", "D2": "AB", "D3": "AC", "D4": "BC", "D5": "B", "D6": "C", "D7": "X", "D8": "Y"}
     calls = spark.createDataFrame([(d, a) for d, s in sets.items() for a in s] + [(None, "A"), ("D1", None), ("D1", "")], "case string, allele string")
