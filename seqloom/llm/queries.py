@@ -18,8 +18,8 @@ from .term_counts import count_terms, mark_terms
 from .top_items import top_items
 from .truncation import truncated, truncation_rates
 
-SEQUENCES = Settings(k=12, similarity=0.5, anchor_k=16)
-HEADERS = Settings(k=4, similarity=0.5, anchor_k=6, anchors=24, max_bucket=24)
+SEQUENCES = Settings(k=12, similarity=0.5, anchor_k=18)
+HEADERS = Settings(k=4, similarity=0.5, anchor_k=8, sample=64, max_bucket=24)
 #: table, key, value, settings
 COMPARED = [("demultiplex", "name", "genomic_sequence", SEQUENCES), ("fasta", "name", "seq", SEQUENCES), ("blast", "sseqid", "sseqid", HEADERS)]
 

@@ -17,6 +17,23 @@ def _similar(tbl: str, key: str, value: str, k: int) -> str:
     ) q, LATERAL (SELECT ka AS key) x, LATERAL (SELECT kb AS key) y"""
 
 
+def _classes(tbl: str, key: str, value: str, k: int) -> str:
+    return f"""
+    SELECT '{tbl}' AS tbl, key, class_id, copies, links FROM (
+      WITH RECURSIVE r AS (SELECT "{key}" AS key, upper("{value}") AS s FROM {tbl} WHERE "{value}" <> ''),
+      v AS (SELECT row_number() OVER (ORDER BY s) AS id, s FROM (SELECT DISTINCT s FROM r)),
+      g AS (SELECT DISTINCT id, substr(s, i, {k}) AS w FROM v, range(1, length(s) - {k} + 2) t(i)),
+      n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+      o AS (SELECT a.id AS ia, b.id AS ib, count(*) AS n_both FROM g a JOIN g b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2),
+      p AS (SELECT ia, ib FROM o JOIN n na ON na.id = ia JOIN n nb ON nb.id = ib WHERE n_both * 3 >= na.n + nb.n),
+      e AS (SELECT ia, ib FROM p UNION ALL SELECT ib, ia FROM p),
+      reach AS (SELECT ia AS id, ia AS other FROM e UNION SELECT reach.id, e.ib FROM reach JOIN e ON reach.other = e.ia),
+      label AS (SELECT v.id, coalesce(min(other), v.id) AS label FROM v LEFT JOIN reach ON reach.id = v.id GROUP BY v.id),
+      links AS (SELECT ia AS id, count(*) AS links FROM e GROUP BY 1),
+      x AS (SELECT v.id, key, label, count(*) AS copies FROM r JOIN v ON v.s = r.s JOIN label ON label.id = v.id WHERE key IS NOT NULL GROUP BY 1, 2, 3)
+      SELECT key, min(key) OVER (PARTITION BY label) AS class_id, copies, coalesce(links, 0) AS links FROM x LEFT JOIN links ON links.id = x.id)"""
+
+
 _SETS = """WITH s AS (
   SELECT DISTINCT "case" AS c, trim(a) AS a FROM (
     SELECT "case", allele_1 AS a FROM haplotype UNION ALL SELECT "case", allele_2 FROM haplotype)
@@ -60,6 +77,7 @@ _LEAKS = f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text
 
 SQL: dict[str, str] = {
     "p1_found": " UNION ALL ".join(f"({_similar(*x)})" for x in (("demultiplex", "name", "genomic_sequence", 12), ("fasta", "name", "seq", 12), ("blast", "sseqid", "sseqid", 4))),
+    "p1_classes": " UNION ALL ".join(f"({_classes(*x)})" for x in (("demultiplex", "name", "genomic_sequence", 12), ("fasta", "name", "seq", 12), ("blast", "sseqid", "sseqid", 4))),
     "p2_found": f"{_SETS} SELECT allele_a, allele_b FROM r",
     "p2_pairs": f"{_SETS} SELECT allele_a, allele_b, n_ab, n_a, n_b, n, lift FROM r",
     "p3_found": f"{_TOP} SELECT case_name, gene FROM r WHERE rank <= 3",

@@ -65,6 +65,56 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "key", "value").count() == 0
     classes = near_duplicates.near_duplicate_classes(df.where("key = 'copy1' OR key = 'copy2' OR key = 'r0000'"), "key", "value").collect()
     assert {r["key"]: r.copies for r in classes} == {"copy1": 1, "copy2": 1, "r0000": 2}
+    assert len({r.class_id for r in classes}) == 1 and {r["key"]: r.links for r in classes} == {"copy1": 1, "copy2": 1, "r0000": 1}
+
+
+def test_planted_classes(spark):
+    """Equal window sets at other lengths, tandem repeats, and single inserts."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(20):
+        unit, short, base = dna(rng, 40), dna(rng, 7), dna(rng, 300)
+        rows += [(f"length{i:02d}a", unit * 2), (f"length{i:02d}b", unit * 20), (f"tandem{i:02d}a", short * 40), (f"tandem{i:02d}b", short * 41)]
+        rows += [(f"insert{i:02d}a", base), (f"insert{i:02d}b", base[:150] + dna(rng, 9) + base[150:])]
+    shared = dna(rng, 40)  # twenty texts with one window set, more than a bucket holds
+    rows += [(f"same{i:02d}", shared * (2 + i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "key string, value string")
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, "key", "value").collect()}
+    assert got == brute_pairs(rows, 12, 0.5)
+    for kind, n in (("length", 20), ("tandem", 20), ("insert", 20), ("same", 190)):
+        assert sum(a.startswith(kind) for a, _ in got) >= n
+
+
+def test_shuffled_ids_give_the_same_pairs(spark):
+    """Both sides of the switches from broadcast to shuffle."""
+    rng = random.Random(19)
+    rows = [(f"r{i:03d}", s) for i, s in enumerate([s for _ in range(6) for s in family(rng)] + family(rng, 200, 30, 2))]
+    rows += [(f"c{i:04d}", rows[0][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, value string")
+    narrow = near_duplicates.Settings(broadcast_copied=0, broadcast_ids=0)
+    a, b = (sorted(map(tuple, near_duplicates.near_duplicate_pairs(df, "key", "value", s).collect())) for s in (near_duplicates.Settings(), narrow))
+    assert a == b and a
+
+
+@pytest.mark.parametrize("n", [14, 24, 48, 96, 128, 200, 300, 600, 3000])
+def test_recall_by_length(spark, n):
+    """Edited pairs of similarity 0.5 to 0.6, of texts of one length."""
+    rng = random.Random(n)
+    rows, want = [], set()
+    while len(want) < 150:
+        a = dna(rng, n)
+        s = list(a)
+        for _ in range(rng.randint(0, max(1, n // 30))):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        b = "".join(s) + (dna(rng, rng.randint(0, max(1, n // 2))) if rng.random() < 0.5 else "")
+        both, either = near_duplicates.shared_windows(a, b, 12)
+        if a != b and either * 0.5 <= both <= either * 0.6:
+            i = len(want)
+            rows += [(f"{i:04d}a", a), (f"{i:04d}b", b)]
+            want.add((f"{i:04d}a", f"{i:04d}b"))
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "key string, value string"), "key", "value").collect()}
+    print(f"recall at {n} characters: {len(got & want)} of {len(want)}")
+    assert len(got & want) >= 0.99 * len(want)
 
 
 def test_large_family_is_joined(spark):
@@ -113,7 +163,7 @@ def test_bands_join_texts_of_any_length(n, k):
         both, either = near_duplicates.shared_windows(a, b, k)
         if 0.5 <= both / either:
             pairs.append((a, b))
-    rows, keys = near_duplicates._band_keys([x for p in pairs for x in p], k)
+    rows, keys, _ = near_duplicates._band_keys([x for p in pairs for x in p], k)
     found = {}
     for r, x in zip(rows.tolist(), keys.tolist()):
         found.setdefault(r, set()).add(x)
