@@ -1,18 +1,20 @@
 """How often every distinct term occurs, and in how many records.
 
-Burst-trie counting. A burst trie keeps terms in sorted containers and splits
-("bursts") a container by the next characters of its terms when it holds more
-than `CAPACITY`; here each container is a front-coded block with two counters a
-term. Three steps:
-
-1. Every task builds a trie of its own records and hands on its containers, one
-   entry a distinct term, so a term that makes up a third of all rows leaves
-   each task once.
-2. Routing prefixes adapt to the data in rounds: a prefix with more entries
-   than `route_rows` is replaced by its longer prefixes, the rest stay. A
-   round counts entries of the overfull prefixes only.
-3. Entries go to the worker of their longest routing prefix, where the
-   subtrees of all tasks are merged by adding the counters of equal terms.
+Burst-trie counting. A burst trie keeps terms in containers and splits
+("bursts") a container by the next character of its terms when it holds more
+than `CAPACITY`. Three steps:
+
+1. Every task builds a trie of its own records and hands on its containers:
+   one row a container, with the path that leads to it, its first and last term
+   and its terms with two counters each. A term that makes up a third of all
+   rows leaves each task once.
+2. Routing prefixes adapt to the data in rounds: a prefix whose containers hold
+   more than `route_rows` entries is replaced by longer ones, as long as what
+   all its terms begin with and one character more; containers that span
+   several of them are split. Each round is a written table.
+3. Containers go to the worker of their routing prefix, where the subtrees of
+   all tasks are merged: a container meets the one at its path, counters of
+   equal terms are added, and what grew too large bursts again.
 
 Terms are compared by code point. Null and empty terms are no terms; null
 amounts count as 0; an empty table gives an empty result.
@@ -20,6 +22,7 @@ amounts count as 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from ..workdir import materialize
 
 CAPACITY = 4096
-STEP = 4  # characters a routing prefix grows by in a round
 _ENTRY = "field string, term string, records long, total long"
+_COUNTERS = "array<struct<term: string, records: long, total: long>>"
+_CONTAINER = f"field string, route string, path string, first string, last string, n long, terms {_COUNTERS}"
+_TERMS = pa.list_(pa.struct([("term", pa.string()), ("records", pa.int64()), ("total", pa.int64())]))
+
+Entry = tuple[str, int, int]
 
 
 class BurstTrie:
@@ -46,71 +53,89 @@ class BurstTrie:
         self.here: list[int] | None = None  # the term that ends at this node
 
     def add(self, term: str, records: int, total: int) -> None:
+        self.absorb("", [(term, records, total)])
+
+    def absorb(self, path: str, terms: list[Entry]) -> None:
+        """Merges a container whose terms all begin with `path`: it descends to
+        the node of that path, or as far as this trie has branched."""
         node = self
-        while node.container is None:
-            if len(term) == node.depth:
-                node.here = [records, total] if node.here is None else [node.here[0] + records, node.here[1] + total]
-                return
-            child = node.children.get(term[node.depth])
-            if child is None:
-                child = node.children[term[node.depth]] = BurstTrie(node.depth + 1, node.capacity)
-            node = child
-        counters = node.container.get(term)
-        if counters is not None:
-            counters[0] += records
-            counters[1] += total
+        while node.container is None and node.depth < len(path):
+            node = node._child(path[node.depth])
+        node._merge(terms)
+
+    def _child(self, c: str) -> BurstTrie:
+        child = self.children.get(c)
+        if child is None:
+            child = self.children[c] = BurstTrie(self.depth + 1, self.capacity)
+        return child
+
+    def _merge(self, terms: list[Entry]) -> None:
+        if self.container is None:
+            below: dict[str, list[Entry]] = {}
+            for entry in terms:
+                term, records, total = entry
+                if len(term) == self.depth:
+                    self.here = [records, total] if self.here is None else [self.here[0] + records, self.here[1] + total]
+                else:
+                    below.setdefault(term[self.depth], []).append(entry)
+            for c, part in below.items():
+                self._child(c)._merge(part)
             return
-        node.container[term] = [records, total]
-        if len(node.container) > node.capacity:
-            node._burst()
-
-    def _burst(self) -> None:
-        held, self.container = self.container, None
-        for term, (records, total) in held.items():
-            self.add(term, records, total)
-
-    def containers(self) -> Iterator[list[tuple[str, list[int]]]]:
-        """Leaves in term order, each sorted."""
+        held = self.container
+        for term, records, total in terms:
+            counters = held.get(term)
+            if counters is None:
+                held[term] = [records, total]
+            else:
+                counters[0] += records
+                counters[1] += total
+        if len(held) > self.capacity:
+            self.container = None
+            self._merge([(term, *counters) for term, counters in held.items()])
+
+    def containers(self, path: str = "") -> Iterator[tuple[str, list[Entry]]]:
+        """(path, terms in order) of every container; a term that ends at an
+        inner node is one of its own."""
         if self.container is not None:
             if self.container:
-                yield sorted(self.container.items())
+                yield path, sorted((term, *counters) for term, counters in self.container.items())
             return
+        if self.here is not None:
+            yield path, [(path, *self.here)]
         for c in sorted(self.children):
-            yield from self.children[c].containers()
+            yield from self.children[c].containers(path + c)
 
     def items(self) -> Iterator[tuple[str, list[int]]]:
         """All terms in order."""
-        if self.container is not None:
-            yield from sorted(self.container.items())
-            return
-        if self.here is not None:
-            stem = self._any_term()[: self.depth] if self.depth else ""
-            yield stem, self.here
-        for c in sorted(self.children):
-            yield from self.children[c].items()
+        for _, terms in self.containers():
+            for term, records, total in terms:
+                yield term, [records, total]
 
-    def _any_term(self) -> str:
-        node = self
-        while node.container is None:
-            node = next(iter(node.children.values()))
-        return next(iter(node.container))
 
+def _containers(rows: list[tuple[str, str, str, list[Entry]]]) -> pa.RecordBatch:
+    """Rows of (field, route, path, terms in order)."""
+    field, route, path, terms = zip(*rows) if rows else ((), (), (), ())
+    as_dicts = [[{"term": t, "records": r, "total": n} for t, r, n in x] for x in terms]
+    return pa.RecordBatch.from_arrays([
+        *(pa.array(x, pa.string()) for x in (field, route, path, [x[0][0] for x in terms], [x[-1][0] for x in terms])),
+        pa.array([len(x) for x in terms], pa.int64()), pa.array(as_dicts, _TERMS),
+    ], names=["field", "route", "path", "first", "last", "n", "terms"])
 
-def _batches(tries: dict[str, BurstTrie], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[str, str, int, int]] = []
-    for field in sorted(tries):
-        for term, (records, total) in tries[field].items():
-            out.append((field, term, records, total))
-            if len(out) == rows:
-                yield _batch(out)
-                out = []
-    if out:
-        yield _batch(out)
 
+def _entries(values: list[dict]) -> list[Entry]:
+    return [(x["term"], x["records"], x["total"]) for x in values]
 
-def _batch(out: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
-    f, t, r, n = zip(*out)
-    return pa.RecordBatch.from_pydict({"field": pa.array(f, pa.string()), "term": pa.array(t, pa.string()), "records": pa.array(r, pa.int64()), "total": pa.array(n, pa.int64())})
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Containers cut by the first `cut` characters of their terms."""
+    for batch in batches:
+        out = []
+        for field, path, cut, terms in zip(*(batch.column(c).to_pylist() for c in ("field", "path", "cut", "terms"))):
+            parts: dict[str, list[Entry]] = {}
+            for entry in _entries(terms):
+                parts.setdefault(entry[0][:cut], []).append(entry)
+            out += [(field, route, max(path, route, key=len), part) for route, part in parts.items()]
+        yield _containers(out)
 
 
 def count_terms(df: DataFrame, fields: dict[str, Column], amount: Column | None = None, route_rows: int = 200_000, local_terms: int = 500_000) -> DataFrame:
@@ -124,37 +149,46 @@ def count_terms(df: DataFrame, fields: dict[str, Column], amount: Column | None
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, BurstTrie] = {}
         held = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for field in sorted(tries):
+                for path, terms in tries[field].containers():
+                    yield _containers([(field, "", path, terms)])
+
         for batch in batches:
             # equal terms of a batch are added once
             t = pa.Table.from_batches([batch]).group_by(["field", "term"]).aggregate([("records", "sum"), ("total", "sum")])
-            for f, term, r, n in zip(*(t[c].to_pylist() for c in ("field", "term", "records_sum", "total_sum"))):
-                tries.setdefault(f, BurstTrie()).add(term, r, n)
+            by: dict[str, list[Entry]] = {}
+            for f, *entry in zip(*(t[c].to_pylist() for c in ("field", "term", "records_sum", "total_sum"))):
+                by.setdefault(f, []).append(tuple(entry))
+            for f, terms in by.items():
+                tries.setdefault(f, BurstTrie()).absorb("", terms)
             held += t.num_rows
             if held > local_terms:  # bounds the task's memory; the merge adds what was split
-                yield from _batches(tries)
+                yield from done()
                 tries, held = {}, 0
-        yield from _batches(tries)
+        yield from done()
 
-    entries = materialize(rows.mapInArrow(local, _ENTRY), "terms")
-    routed = entries.withColumn("route", F.lit(""))
-    length, full = 0, entries.groupBy("field").agg(F.count("*").alias("n")).withColumn("route", F.lit(""))
+    routed = materialize(rows.mapInArrow(local, _CONTAINER), "containers")
     while True:
-        full = materialize(full.where(F.col("n") > route_rows).select("field", "route"), "routes")
-        if full.isEmpty():
+        sizes = routed.groupBy("field", "route").agg(F.sum("n").alias("all"), F.min("first").alias("lo"), F.max("last").alias("hi"))
+        full = sizes.where((F.col("all") > route_rows) & (F.col("lo") < F.col("hi"))).collect()  # at most all entries / route_rows
+        if not full:
             break
-        length += STEP
-        overfull = F.col("_full").isNotNull()
-        grown = routed.join(full.withColumn("_full", F.lit(True)), ["field", "route"], "left")
-        routed = grown.withColumn("route", F.when(overfull, F.substring("term", 1, length)).otherwise(F.col("route"))).drop("_full")
-        # a prefix that all its terms end in can't be split further
-        full = grown.where(overfull).groupBy("field", F.substring("term", 1, length).alias("route")).agg(F.count("*").alias("n"), F.max(F.length("term")).alias("longest")).where(F.col("longest") > length).drop("longest")
+        cuts = [(r["field"], r["route"], len(os.path.commonprefix([r["lo"], r["hi"]])) + 1) for r in full]
+        table = F.broadcast(df.sparkSession.createDataFrame(cuts, "field string, route string, cut int"))
+        cut = routed.join(table, ["field", "route"]).select("field", "path", "cut", "terms").mapInArrow(_split, _CONTAINER)
+        routed = materialize(routed.join(table, ["field", "route"], "left_anti").select(*cut.columns).unionByName(cut), "containers")
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = BurstTrie()
         for batch in batches:
-            for term, r, n in zip(*(batch.column(c).to_pylist() for c in ("term", "records", "total"))):
-                trie.add(term, r, n)
-        yield from _batches({key[0].as_py(): trie})
+            for path, terms in zip(batch.column("path").to_pylist(), batch.column("terms").to_pylist()):
+                trie.absorb(path, _entries(terms))
+        field = key[0].as_py()
+        for _, terms in trie.containers():
+            term, records, total = zip(*terms)
+            yield pa.RecordBatch.from_pydict({"field": pa.array([field] * len(terms), pa.string()), "term": pa.array(term, pa.string()), "records": pa.array(records, pa.int64()), "total": pa.array(total, pa.int64())})
 
     return routed.groupBy("field", "route").applyInArrow(merge, _ENTRY)
 
