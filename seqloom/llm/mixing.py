@@ -1,19 +1,23 @@
 """Sources combined to target shares of tokens by Poisson replication.
 
-For each source the wanted repetition rate is target_share * budget / tokens,
-at most max_repeats. A document's number of copies is a hash-seeded Poisson
-draw, inverted at u = hash(doc, seed) and cut at max_repeats; the mean is
-solved so that the cut draw has the wanted rate in expectation (a rate equal to
-the cap gives every document max_repeats times). Copies are exploded and put in
-a global random order by hash. Draws depend on the document only, so a lost
-task redraws the same.
+A source's wanted tokens are target_share * budget, at most max_repeats times
+what it has. What sources fall short of is given to the others in proportion to
+their targets (as far as their own caps allow), so the total stays at the
+budget where it can. For each source the repetition rate is wanted / available.
+A document's number of copies is a hash-seeded Poisson draw, inverted at
+u = hash(doc, seed) and cut at max_repeats; the mean is solved so that the cut
+draw has the wanted rate in expectation (a rate equal to the cap gives every
+document max_repeats times). Copies are exploded and put in a global random
+order by hash. Draws depend on the document only, so a lost task redraws the
+same.
 
 Sizes are tokens of a public byte-level BPE tokenizer, whose file is a
 parameter. Source names are compared trimmed and without case. Documents with a
 null source, or one that has no target, take no part; null or empty texts have
-no tokens and are never drawn. A source without documents, or one that the cap
-keeps below its share, is reported with its actual share and `reached` false.
-Repeated rows are different documents. Empty tables give empty shares.
+no tokens and are never drawn. Repeated rows are different documents. Every
+target source is reported with its target, planned and actual share; `reached`
+says whether the actual share is within `tolerance` of the target, which also
+fails for sources that make up for others. Empty tables give empty shares.
 """
 
 from __future__ import annotations
@@ -59,11 +63,9 @@ def with_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFra
 
 def cut_mean(mean: float, cap: int) -> float:
     """E[min(Poisson(mean), cap)]."""
-    p, left = math.exp(-mean), float(cap)
-    for n in range(cap):
-        left -= (cap - n) * p
-        p *= mean / (n + 1)
-    return left
+    if mean <= 0:
+        return 0.0
+    return cap - math.fsum((cap - n) * math.exp(n * math.log(mean) - mean - math.lgamma(n + 1)) for n in range(cap))
 
 
 def poisson_mean(rate: float, cap: int) -> float:
@@ -72,10 +74,10 @@ def poisson_mean(rate: float, cap: int) -> float:
     if rate >= cap:
         return math.inf
     lo, hi = 0.0, 1.0
-    while cut_mean(hi, cap) < rate and hi < 500:
+    while cut_mean(hi, cap) < rate:
         hi *= 2
-    if cut_mean(hi, cap) < rate:
-        return math.inf
+        if hi > 64 * (cap + 64):  # the rate is the cap within rounding
+            return math.inf
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cut_mean(mid, cap) < rate else (lo, mid)
@@ -86,11 +88,31 @@ def thresholds(mean: float, cap: int) -> list[float]:
     """P(Poisson <= n) for n below cap: copies = how many of them u exceeds."""
     if math.isinf(mean):
         return [-1.0] * cap
-    out, p, total = [], math.exp(-mean), 0.0
+    if mean <= 0:
+        return [1.0] * cap
+    out, total = [], 0.0
     for n in range(cap):
-        total += p
+        total += math.exp(n * math.log(mean) - mean - math.lgamma(n + 1))
         out.append(total)
-        p *= mean / (n + 1)
+    return out
+
+
+def wanted_tokens(shares: list[float], limits: list[float], budget: float) -> list[float]:
+    """Tokens of each source: proportional to its share, none above its limit,
+    together the budget if the limits allow."""
+    out, open_ = [0.0] * len(shares), set(range(len(shares)))
+    left = float(budget)
+    while open_:
+        total = sum(shares[i] for i in open_)
+        short = {i for i in open_ if total > 0 and shares[i] / total * left >= limits[i]}
+        if total <= 0 or not short:
+            for i in open_:
+                out[i] = shares[i] / total * left if total > 0 else 0.0
+            break
+        for i in short:
+            out[i] = float(limits[i])
+            left -= limits[i]
+        open_ -= short
     return out
 
 
@@ -103,25 +125,33 @@ def sized(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
 
 
 def plan(sizes: DataFrame, targets: DataFrame, budget: int | None = None) -> list[dict]:
-    """One entry a target source: its tokens, wanted rate and thresholds.
-    `budget` is the total to compose, by default the tokens there are."""
+    """One entry a target source: its tokens, planned tokens, rate and
+    thresholds. `budget` is the total to compose, by default the tokens there are."""
     tokens = {r["source"]: r["t"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # one row a source
+    rows = targets.select(F.trim("source").alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").collect()
     budget = sum(tokens.values()) if budget is None else budget
+    have = [tokens.get(r["source"], 0) for r in rows]
+    wanted = wanted_tokens([r["target_share"] for r in rows], [n * int(r["max_repeats"]) for n, r in zip(have, rows)], budget)
     out = []
-    for r in targets.select(F.trim("source").alias("source"), "target_share", "max_repeats").collect():
-        cap, have = int(r["max_repeats"]), tokens.get(r["source"], 0)
-        wanted = r["target_share"] * budget
-        rate = min(wanted / have, float(cap)) if have else 0.0
-        out.append({"source": r["source"], "target_share": r["target_share"], "max_repeats": cap, "tokens": have, "rate": rate, "reached": bool(have) and have * cap >= wanted, "cuts": thresholds(poisson_mean(rate, cap), cap)})
+    for r, n, w in zip(rows, have, wanted):
+        cap = int(r["max_repeats"])
+        rate = w / n if n else 0.0
+        out.append({"source": r["source"], "target_share": r["target_share"], "max_repeats": cap, "tokens": n, "planned": w, "rate": rate, "cuts": thresholds(poisson_mean(rate, cap), cap)})
     return out
 
 
+def draws(docs: DataFrame, cuts: list[tuple[str, list[float]]], seed: int) -> DataFrame:
+    """`docs` (doc_id, source, ...) with their `copies`: how many of their
+    source's thresholds u exceeds. u is 52 bits of the MD5 of id and seed."""
+    table = docs.sparkSession.createDataFrame(cuts, "source string, cuts array<double>")
+    bits = F.conv(F.left(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)))), F.lit(13)), 16, 10).cast("long")
+    drawn = docs.withColumn("u", (bits + F.lit(0.5)) / F.lit(float(1 << 52))).join(F.broadcast(table), "source")  # one row a source
+    return drawn.withColumn("copies", F.size(F.filter("cuts", lambda c: F.col("u") > c))).drop("u", "cuts")
+
+
 def _draw(sizes: DataFrame, targets: list[dict], seed: int) -> DataFrame:
     """Documents of `sizes` with their `copies`, at least one."""
-    cuts = sizes.sparkSession.createDataFrame([(p["source"], p["cuts"]) for p in targets], "source string, cuts array<double>")
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    drawn = sizes.where("n_tokens > 0").withColumn("u", u).join(F.broadcast(cuts), "source")  # one row a source
-    return drawn.withColumn("copies", F.size(F.filter("cuts", lambda c: F.col("u") > c))).where("copies > 0").drop("u", "cuts")
+    return draws(sizes.where("n_tokens > 0"), [(p["source"], p["cuts"]) for p in targets], seed).where("copies > 0")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -134,15 +164,21 @@ def mixture(documents: DataFrame, targets: DataFrame, budget: int | None = None,
     return out.select("doc_id", "source", "copy_no", "n_tokens", "order_key").orderBy("order_key", "doc_id", "copy_no")
 
 
-def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(source, target_share, actual_share, tokens_available, tokens_used,
-    copies, most_repeats, max_repeats, reached): the mixture measured."""
+def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, tolerance: float = 0.01) -> DataFrame:
+    """(source, target_share, planned_share, actual_share, tokens_available,
+    tokens_used, planned_total, actual_total, copies, most_repeats, max_repeats,
+    reached): the mixture measured. Planned shares are of the planned total,
+    actual ones of what was drawn."""
     sizes = materialize(sized(documents, targets, tokenizer), "sizes")
     goals = plan(sizes, targets, budget)
     used = _draw(sizes, goals, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"))
     used = materialize(used, "used")
-    total = used.agg(F.sum("tokens_used")).first()[0] or 0
-    rows = [(p["source"], p["target_share"], p["tokens"], p["max_repeats"], p["reached"]) for p in goals]
-    plan_df = sizes.sparkSession.createDataFrame(rows, "source string, target_share double, tokens_available long, max_repeats int, reached boolean")
+    total, planned = used.agg(F.sum("tokens_used")).first()[0] or 0, sum(p["planned"] for p in goals)
+    rows = [(p["source"], p["target_share"], p["planned"] / planned if planned else 0.0, p["tokens"], p["max_repeats"]) for p in goals]
+    plan_df = sizes.sparkSession.createDataFrame(rows, "source string, target_share double, planned_share double, tokens_available long, max_repeats int")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return plan_df.join(used, "source", "left").select("source", "target_share", (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(max(total, 1)))).alias("actual_share"), "tokens_available", zero("tokens_used"), zero("copies"), zero("most_repeats"), "max_repeats", "reached")
+    actual = F.coalesce("tokens_used", F.lit(0)) / F.lit(float(max(total, 1)))
+    return plan_df.join(used, "source", "left").select(
+        "source", "target_share", "planned_share", actual.alias("actual_share"), "tokens_available", zero("tokens_used"), F.lit(round(planned)).cast("long").alias("planned_total"),
+        F.lit(total).cast("long").alias("actual_total"), zero("copies"), zero("most_repeats"), "max_repeats", (F.abs(actual - F.col("target_share")) <= tolerance).alias("reached"),
+    )

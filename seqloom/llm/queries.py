@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..workdir import table
 from .item_pairs import baskets, item_pairs
 from .leaks import leaked
-from .mixing import mixture, shares
+from .mixing import SEED, draws, mixture, shares, thresholds
 from .near_duplicates import Settings, near_duplicate_classes, near_duplicate_pairs
 from .shared_spans import shared_lengths
 from .term_counts import count_terms, mark_terms
@@ -100,6 +100,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies that Poisson draws of mean 1.3, cut at a source's
+    max_repeats, give every post of a target source (0 included)."""
+    known = table(spark, sf_dir, "mix_targets").select(F.trim("source").alias("source"), "max_repeats").distinct()
+    cuts = [(r["source"], thresholds(1.3, int(r["max_repeats"]))) for r in known.collect()]  # one row a source
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("_key"))
+    named = docs.join(F.broadcast(known.select("source", F.lower("source").alias("_key"))), "_key")
+    return draws(named.select("doc_id", "source"), cuts, SEED)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -109,5 +119,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pairs, p3_found, p3_top, p5_found, p5_lengths, p6_found, p6_counts, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_rates)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pairs, p3_found, p3_top, p5_found, p5_lengths, p6_found, p6_counts, p7_found, p7_report, p8_mix, p8_shares, p8_draws, p9_found, p9_rates)
 }

@@ -75,6 +75,11 @@ _LEAKS = f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text
  dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT DISTINCT n FROM ig) k, d, range(1, len(w) - n + 2) t(p)),
  l AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))"""
 
+_DRAWS = """WITH t AS (SELECT DISTINCT trim(source) AS source, max_repeats FROM mix_targets),
+ d AS (SELECT doc_id, t.source, max_repeats, (('0x' || left(md5(doc_id || ':20210301'), 13))::BIGINT + 0.5) / 4503599627370496 AS u FROM documents d JOIN t ON lower(trim(d.source)) = lower(t.source)),
+ c AS (SELECT n, sum(exp(-1.3) * pow(1.3, n) / factorial(CAST(n AS INTEGER))) OVER (ORDER BY n) AS below FROM range(0, 64) r(n))
+ SELECT doc_id, source, (SELECT count(*) FROM c WHERE n < max_repeats AND u > below) AS copies FROM d"""
+
 SQL: dict[str, str] = {
     "p1_found": " UNION ALL ".join(f"({_similar(*x)})" for x in (("demultiplex", "name", "genomic_sequence", 12), ("fasta", "name", "seq", 12), ("blast", "sseqid", "sseqid", 4))),
     "p1_classes": " UNION ALL ".join(f"({_classes(*x)})" for x in (("demultiplex", "name", "genomic_sequence", 12), ("fasta", "name", "seq", 12), ("blast", "sseqid", "sseqid", 4))),
@@ -87,5 +92,6 @@ SQL: dict[str, str] = {
     "p6_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> 'kept'",
     "p6_counts": f"{_TERMS} SELECT field_name, term, records, total, mark FROM m",
     "p7_found": f"{_LEAKS} SELECT doc_id, item_id FROM l",
+    "p8_draws": _DRAWS,
     "p7_report": f"{_LEAKS} SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM l GROUP BY doc_id",
 }
