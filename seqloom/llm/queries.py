@@ -16,7 +16,7 @@ from .near_duplicates import Settings, near_duplicate_classes, near_duplicate_pa
 from .shared_spans import shared_lengths
 from .term_counts import count_terms, mark_terms
 from .top_items import top_items
-from .truncation import truncated, truncation_rates
+from .truncation import truncated, truncation_rates, truncation_report
 
 SEQUENCES = Settings(k=12, similarity=0.5, anchor_k=18)
 HEADERS = Settings(k=4, similarity=0.5, anchor_k=8, sample=64, max_bucket=24)
@@ -118,6 +118,10 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(table(spark, sf_dir, "documents"))
 
 
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pairs, p3_found, p3_top, p5_found, p5_lengths, p6_found, p6_counts, p7_found, p7_report, p8_mix, p8_shares, p8_draws, p9_found, p9_rates)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pairs, p3_found, p3_top, p5_found, p5_lengths, p6_found, p6_counts, p7_found, p7_report, p8_mix, p8_shares, p8_draws, p9_found, p9_rates, p9_report)
 }

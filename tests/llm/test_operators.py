@@ -306,3 +306,33 @@ def test_truncation(spark):
     hits = len(found & cut)
     assert hits >= 0.85 * len(cut) and hits >= 0.85 * len(found)
     assert truncation.truncated(d.limit(0)).count() == 0
+
+
+def test_truncation_report_and_limits(spark):
+    """A source whose field holds 60 characters, and one that doesn't cut."""
+    rng = random.Random(21)
+    nouns, verbs = ["pump", "valve", "chain", "hinge", "server", "kettle", "ladder"], ["was noisy", "feels old", "never worked", "needs oil", "fell down"]
+
+    def text():
+        return " ".join(f"The {rng.choice(nouns)} {rng.choice(verbs)} after {' '.join(rng.choices(nouns, k=rng.randint(1, 9)))} number {rng.randint(2, 90)} arrived." for _ in range(rng.randint(1, 4)))
+
+    rows = []
+    for i in range(2400):
+        t = text()
+        rows.append((i, "wide", t) if i % 3 else (i, "Narrow ", t[:60]))
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    limits = {(r.source_key, r.n) for r in truncation.field_limits(d.select(F.lower(F.trim("source")).alias("source_key"), F.length("text").alias("n"), "text")).collect()}
+    assert ("narrow", 60) in limits and not any(s == "wide" for s, _ in limits)
+    rates = {r.source_key: r for r in truncation.truncation_rates(d).collect()}
+    cut = sum(s == "Narrow " and not t.endswith(".") for _, s, t in rows)
+    assert abs(rates["narrow"].n_cut - cut) <= 0.05 * cut and rates["wide"].n_cut <= 0.02 * rates["wide"].n_docs
+    report = truncation.truncation_report(d).first()
+    assert report.precision > 0.9 and report.recall > 0.9
+
+
+def test_word_runs_by_brute_force():
+    texts = ["One two three. Four five\nsix one two three.", "one two", "", "Hi, one two x"]
+    runs = truncation.Runs(*[x for i, x in enumerate(truncation.run_counts(texts, truncation._Vocabulary())) if i < 2])
+    h = lambda *w: truncation._run_keys(*(truncation.np.array([truncation._hash(x) if x else 0], truncation.np.uint64) for x in (w + ("", "", ""))[:3]))
+    assert runs(h("two", "one")[1])[0] == 3 and runs(h("three", "two", "one")[2])[0] == 2 and runs(h("six", "five")[1])[0] == 0
+    assert runs(h("one")[0])[0] == 4 and runs(h("x")[0])[0] == 0 and runs(h("five", "four")[1])[0] == 1
