@@ -80,6 +80,42 @@ def gene_type(name: str | Column) -> Column:
     return F.when(name.contains("V"), "V").when(name.contains("D"), "D").when(name.contains("J"), "J")
 
 
+def parse_gene_type(name: str) -> str:
+    """V, D or J, in either case; anything else is an error."""
+    out = name.strip().upper()
+    if out not in ("V", "D", "J"):
+        raise ValueError(f"{name} is none of V, D and J")
+    return out
+
+
+def base_name(path: str | Column) -> Column:
+    """The part of a path behind its last slash."""
+    return F.regexp_extract(col(path), r"([^/]*)$", 1)
+
+
+def stem(path: str | Column) -> Column:
+    """The base name without its last extension."""
+    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def replace_extension(path: str | Column, extension: str) -> Column:
+    """A path with its last extension replaced."""
+    return F.concat(F.regexp_replace(col(path), r"(?<=[^/])\.[^./]*$", ""), F.lit(f".{extension.lstrip('.')}"))
+
+
+def without_gaps(s: str | Column) -> Column:
+    return F.replace(col(s), F.lit("-"), F.lit(""))
+
+
+def windows_within(text: str | Column, pattern: Column, most: int) -> Column:
+    """Structs (start, distance) of the windows of a text that differ from
+    `pattern` in at most `most` places."""
+    text = col(text)
+    at = F.when(F.length(text) >= F.length(pattern), F.sequence(F.lit(1), F.length(text) - F.length(pattern) + 1)).otherwise(F.array().cast("array<int>"))
+    near = F.transform(at, lambda i: F.struct(i.alias("start"), hamming(F.substring(text, i, F.length(pattern)), pattern).alias("distance")))
+    return F.filter(near, lambda x: x["distance"] <= most)
+
+
 def kmers(s: str | Column, k: int) -> Column:
     """Distinct substrings of length k; an empty array for shorter strings."""
     s = col(s)

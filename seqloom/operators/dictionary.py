@@ -52,9 +52,23 @@ def contains(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, mos
 
 
 def _seeded(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    k = patterns.agg(F.min(F.length(pattern))).first()[0]
-    seeds = patterns.withColumn("_seed", F.left(F.col(pattern), F.lit(k)))
-    positions = F.sequence(F.lit(1), F.length(text) - k + 1)
-    windows = texts.where(F.length(text) >= k).withColumn("_at", F.explode(positions)).withColumn("_seed", F.substring(F.col(text), F.col("_at"), F.lit(k)))
-    hits = windows.join(seeds, "_seed").where(F.substring(F.col(text), F.col("_at"), F.length(pattern)) == F.col(pattern))
-    return hits.where(F.col("_at") == F.instr(F.col(text), F.col(pattern))).withColumnRenamed("_at", "start").withColumn("start", F.col("start").cast("int")).drop("_seed")
+    """Patterns are grouped by length class (powers of two); their leading
+    characters, as many as the class has at least, are the seeds. Only (hash of
+    the text, position, seed) of each distinct text is exploded, and hits are
+    verified on the texts."""
+    known = patterns.select(F.col(pattern).alias("_pattern")).distinct().withColumn("_class", F.floor(F.log2(F.length("_pattern"))).cast("int"))
+    known = known.withColumn("_size", F.pow(F.lit(2.0), F.col("_class")).cast("int"))
+    seeds = known.select("_pattern", "_size", F.xxhash64(F.left(F.col("_pattern"), F.col("_size"))).alias("_seed"))
+    sizes = sorted(r[0] for r in known.select("_size").distinct().collect())  # one a power of two
+    own = texts.where(F.col(text) != "").select(F.xxhash64(text).alias("_id"), F.col(text).alias("_text")).distinct()
+    windows = None
+    for n in sizes:
+        at = F.when(F.length("_text") >= n, F.sequence(F.lit(1), F.length("_text") - n + 1)).otherwise(F.array().cast("array<int>"))
+        part = own.select("_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.substring("_text", i, F.lit(n))).alias("seed")))).alias("w"))
+        part = part.select("_id", F.lit(n).alias("_size"), F.col("w.at").alias("_at"), F.col("w.seed").alias("_seed"))
+        windows = part if windows is None else windows.unionByName(part)
+    hits = windows.join(seeds, ["_size", "_seed"]).select("_id", "_at", "_pattern")
+    found = own.join(hits, "_id").where(F.substring("_text", F.col("_at"), F.length("_pattern")) == F.col("_pattern"))
+    first = found.groupBy("_text", "_pattern").agg(F.min("_at").alias("start"))
+    joined = texts.join(first, F.col(text) == F.col("_text")).join(patterns, F.col("_pattern") == F.col(pattern))
+    return joined.select(*[F.col(f"`{c}`") for c in texts.columns], F.col("start").cast("int").alias("start"), *[F.col(f"`{c}`") for c in patterns.columns])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import col
+from .dictionary import contains
 
 _COMPARE = {"<": operator.lt, "<=": operator.le, ">=": operator.ge, ">": operator.gt}
 
@@ -122,9 +123,14 @@ def collect(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def exclude(df: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
-    """Rows whose value neither contains nor is part of a known one. `known` is
-    a small dictionary (its broadcast is left to the engine's size check)."""
+    """Rows whose value neither contains nor is part of a known one. Both
+    directions are dictionary joins over distinct values; null values stay, an
+    empty one is part of every known value."""
     k = known.select(col(known_column).alias("_known")).where("_known IS NOT NULL").distinct()
-    values = df.select(col(column).alias("_v")).distinct()
-    hit = values.join(k, F.col("_v").contains(F.col("_known")) | F.col("_known").contains(F.col("_v")), "left_semi")
-    return df.join(hit, col(column) == F.col("_v"), "left_anti")
+    values = df.select(col(column).alias("_v")).where("_v IS NOT NULL").distinct()
+    hit = contains(values, "_v", k.where("_known <> ''"), "_known").select("_v").unionByName(contains(k, "_known", values.where("_v <> ''"), "_v").select("_v"))
+    if not k.isEmpty():
+        hit = hit.unionByName(values.where("_v = ''"))
+    if not k.where("_known = ''").isEmpty():  # part of every value
+        hit = values
+    return df.join(hit.distinct(), col(column) == F.col("_v"), "left_anti")

@@ -3,41 +3,71 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import fdiv
+from ..functions.exprs import fdiv, gene_type
 from ..functions.gram import gram
 from ..workdir import materialize
 
 
-def _upper_tail(k: int, successes: int, failures: int, draws: int) -> float:
-    """P(X >= k) of a hypergeometric variable."""
-    lg = math.lgamma
-    choose = lambda n, r: lg(n + 1) - lg(r + 1) - lg(n - r + 1)
-    total = choose(successes + failures, draws)
-    lo, hi = max(k, draws - failures, 0), min(successes, draws)
-    return min(1.0, math.fsum(math.exp(choose(successes, i) + choose(failures, draws - i) - total) for i in range(lo, hi + 1)))
-
-
-def edges(calls: DataFrame, donor: str, allele: str, min_donors: int = 1, min_support: int = 1, min_jaccard: float = 0.0, corrected: bool = False) -> DataFrame:
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log(n!) by Stirling's series, shifted to 16 and above."""
+    x = np.asarray(n, np.float64) + 1
+    shift, low = np.zeros_like(x), x < 16
+    while low.any():
+        shift[low] -= np.log(x[low])
+        x = np.where(low, x + 1, x)
+        low = x < 16
+    inverse = 1 / (x * x)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse / 1680))) / x
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+
+
+def upper_tail(k: np.ndarray, successes: np.ndarray, failures: np.ndarray, draws: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """P(X >= k) of hypergeometric variables, row by row; terms are summed in
+    blocks of about `block`."""
+    k, successes, failures, draws = (np.asarray(x, np.int64) for x in (k, successes, failures, draws))
+    lo, hi = np.maximum(np.maximum(k, draws - failures), 0), np.minimum(successes, draws)
+    terms = np.maximum(hi - lo + 1, 0)
+    choose = lambda n, r: _log_factorial(n) - _log_factorial(r) - _log_factorial(n - r)
+    whole = choose(successes + failures, np.minimum(draws, successes + failures))
+    out = np.zeros(len(k))
+    ends = np.cumsum(terms)
+    begin = 0
+    while begin < len(k):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + block, side="right")))
+        at = np.repeat(np.arange(begin, stop), terms[begin:stop])
+        first = np.repeat(np.cumsum(terms[begin:stop]) - terms[begin:stop], terms[begin:stop])
+        i = lo[at] + np.arange(len(at)) - first
+        log_p = choose(successes[at], i) + choose(failures[at], draws[at] - i) - whole[at]
+        out[begin:stop] = np.bincount(at - begin, np.exp(log_p), minlength=stop - begin)
+        begin = stop
+    return np.minimum(out, 1.0)
+
+
+def edges(calls: DataFrame, donor: str, alleles: str | list[str], min_donors: int = 1, min_support: int = 1, min_jaccard: float = 0.0, corrected: bool = False) -> DataFrame:
     """(allele_a, allele_b, n_a, n_b, n_shared, jaccard, rho, p_enrich,
     q_enrich) of allele pairs that share donors, allele_a < allele_b.
 
-    Alleles with fewer than `min_donors` rows are left out first. Pair counts
-    are sums of Gram products over donor blocks, so a donor with very many
+    `alleles` names the columns of a row's alleles (trimmed; null and empty ones
+    are none). Alleles with fewer than `min_donors` rows are left out first, and
+    those in fewer than `min_support` donors can be in no pair. Pair counts are
+    sums of Gram products over donor blocks, so a donor with very many
     alleles is no list of pairs. The tail's population is N successes and n_a
     failures (`corrected`: n_a and N - n_a). q is Benjamini-Hochberg over the
     pairs that pass."""
-    rows = calls.select(F.col(f"`{donor}`").alias("donor"), F.col(allele).alias("allele")).where("donor IS NOT NULL AND allele <> ''")
+    listed = F.array(*[F.trim(F.col(f"`{c}`")) for c in ([alleles] if isinstance(alleles, str) else alleles)])
+    rows = calls.select(F.col(f"`{donor}`").alias("donor"), F.explode(listed).alias("allele")).where("donor IS NOT NULL AND allele <> ''")
     kept = rows.groupBy("allele").agg(F.count("*").alias("c")).where(F.col("c") >= min_donors).select("allele")
     sets = materialize(rows.join(kept, "allele", "left_semi").distinct(), "sets")
     n = sets.agg(F.count_distinct("donor")).first()[0]
-    counts = materialize(sets.groupBy("allele").agg(F.count("*").alias("n_allele")), "alleles")
+    counts = materialize(sets.groupBy("allele").agg(F.count("*").alias("n_allele")).where(F.col("n_allele") >= min_support), "alleles")
     block = 1 << 12
     # dense numbers without a global sort: rank within a hash block, block by block
     sized = counts.withColumn("_b", F.pmod(F.xxhash64("allele"), F.lit(64)))
@@ -72,22 +102,41 @@ def edges(calls: DataFrame, donor: str, allele: str, min_donors: int = 1, min_su
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_upper_tail(int(x), int(y) if corrected else n, n - int(y) if corrected else int(y), int(z)) for x, y, z in zip(k, a, b)], dtype="float64")
+        every = np.full(len(k), n)
+        return pd.Series(upper_tail(k, a if corrected else every, n - a if corrected else a, b), dtype="float64")
 
-    return bh(pairs.withColumn("p_enrich", tail("n_shared", "n_a", "n_b")), "p_enrich", "q_enrich", ["allele_a", "allele_b"])
+    pairs = materialize(pairs, "pairs")
+    counted = materialize(pairs.select("n_shared", "n_a", "n_b").distinct().withColumn("p_enrich", tail("n_shared", "n_a", "n_b")), "tails")
+    return bh(pairs.join(counted, ["n_shared", "n_a", "n_b"]).select(*pairs.columns, "p_enrich"), "p_enrich", "q_enrich")
 
 
-def bh(df: DataFrame, p: str, q: str, ties: list[str]) -> DataFrame:
+def bh(df: DataFrame, p: str, q: str) -> DataFrame:
     """Benjamini-Hochberg: q = min over larger p of p * m / rank, at most 1.
-    Ranks come from counts of distinct p values, so only those are ordered in
-    one task: pairs of equal counts share their p."""
-    values = df.groupBy(p).agg(F.count("*").alias("_c"))
-    upto = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = Window.orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-    ranked = values.withColumn("_r", F.sum("_c").over(upto)).withColumn("_m", F.sum("_c").over(every))
-    adjusted = ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(after))).select(p, q)
-    return df.join(adjusted, p).select(*df.columns, q)
+    Distinct p values with their counts are range-partitioned; each block runs
+    its own sums, and only the blocks' totals (one row a block) meet in one
+    place. Null p has null q."""
+    values = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c"))
+    blocks = materialize(values.repartitionByRange(p).withColumn("_b", F.spark_partition_id()), "pvalues")
+    sizes = {r["_b"]: r["n"] for r in blocks.groupBy("_b").agg(F.sum("_c").alias("n")).collect()}
+    before, m = {}, 0
+    for b in sorted(sizes):
+        before[b], m = m, m + sizes[b]
+    upto = Window.partitionBy("_b").orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("_c").over(upto) + _by_block(before)
+    ranked = materialize(blocks.select(p, "_b", (F.col(p) * F.lit(m) / rank).alias("_q")), "ranked")
+    lows = {r["_b"]: r["q"] for r in ranked.groupBy("_b").agg(F.min("_q").alias("q")).collect()}
+    after, least = {}, 1.0
+    for b in sorted(lows, reverse=True):
+        after[b], least = least, min(least, lows[b])
+    rest = Window.partitionBy("_b").orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+    adjusted = ranked.select(p, F.least(F.min("_q").over(rest), _by_block(after)).alias(q))
+    return df.join(adjusted, p, "left").select(*df.columns, q)
+
+
+def _by_block(values: dict) -> Column:
+    if not values:
+        return F.lit(None).cast("double")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("_b"))
 
 
 def components(links: DataFrame, a: str, b: str, min_size: int = 1) -> DataFrame:
@@ -109,6 +158,50 @@ def components(links: DataFrame, a: str, b: str, min_size: int = 1) -> DataFrame
     return labels.join(big, "label", "left_semi").select(F.col("label").alias("group_id"), F.col("x").alias("allele"))
 
 
+# The parts of a recombination signal that extend a sequence, before and after it, by gene type
+_PRE = {"J": ("nonamer", "spacer", "heptamer"), "D": ("pre_nonamer", "pre_spacer", "pre_heptamer")}
+_POST = {"V": ("heptamer", "spacer", "nonamer"), "D": ("post_heptamer", "post_spacer", "post_nonamer")}
+
+
+def extended_sequence(columns: list[str], gene: Column, sequence: Column) -> Column:
+    """The sequence between its flanks: prefix and suffix where `columns` has
+    them, else the parts of the signal that belong to the gene's type. Missing
+    parts are empty; a gene of no type has no flanks."""
+    part = lambda names: F.concat(F.lit(""), *[F.coalesce(F.col(c), F.lit("")) for c in names if c in columns])
+
+    def side(plain: str, signals: dict[str, tuple[str, ...]]) -> Column:
+        if plain in columns:
+            return F.coalesce(F.col(plain), F.lit(""))
+        return reduce(lambda rest, kind: F.when(gene_type(gene) == kind, part(signals[kind])).otherwise(rest), signals, F.lit(""))
+
+    known = gene_type(gene).isNotNull()
+    return F.concat(F.when(known, side("prefix", _PRE)).otherwise(""), F.coalesce(sequence, F.lit("")), F.when(known, side("suffix", _POST)).otherwise(""))
+
+
+def haplotype_input(found: DataFrame) -> DataFrame:
+    """(case, gene, db_name, sequence, count) of an exact search's result: its
+    extended sequences, and full_count where there is one."""
+    count = "full_count" if "full_count" in found.columns else "count"
+    return found.select("case", "gene", "db_name", extended_sequence(found.columns, F.col("gene"), F.col("sequence")).alias("sequence"), F.col(count).alias("count"))
+
+
+def novel_flags(calls: DataFrame, novel: DataFrame) -> DataFrame:
+    """`calls` with novel_1 and novel_2: whether the alleles, without the rank
+    after their last underscore, are among `novel` (name)."""
+    for i in (1, 2):
+        names = novel.select(F.col("name").alias("_novel")).where("_novel IS NOT NULL").distinct().withColumn(f"novel_{i}", F.lit(True))
+        base = F.regexp_replace(f"allele_{i}", r"_\d+$", "")
+        calls = calls.join(names, base == F.col("_novel"), "left").drop("_novel").withColumn(f"novel_{i}", F.coalesce(f"novel_{i}", F.lit(False)))
+    return calls
+
+
+def genotype_summary(calls: DataFrame) -> DataFrame:
+    """(genotype, n, percent) of all calls, percent to one digit."""
+    counts = calls.groupBy("genotype").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("_all"))  # one row
+    return counts.join(F.broadcast(whole), F.lit(True)).select("genotype", "n", F.bround(F.lit(100.0) * F.col("n") / F.col("_all"), 1).alias("percent"))
+
+
 def haplotypes(counts: DataFrame, min_count: int = 5, min_ratio: float = 0.1) -> DataFrame:
     """Diploid calls per (case, gene) from (case, gene, db_name, sequence,
     count). Sequences of an allele are numbered over the cohort by total count

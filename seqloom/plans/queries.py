@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import cigar_leading_skip, cigar_span, common_prefix, common_suffix, gene_of, hamming, kmers, reverse_complement, sequence_hash, unique_name
 from ..operators import filters, keysets, tables
+from ..sources import files
 from ..workdir import table
 from . import cohort, dscan, exact, trimming
 
@@ -84,10 +85,10 @@ def allele_kmers(spark, d):
 
 
 def allele_common_ends(spark, d):
-    """Longest common prefix and suffix of the alleles of a gene, pair by pair."""
+    """Longest common prefix and suffix of any two alleles of a gene."""
     db = _alleles(spark, d).withColumn("gene", gene_of("name"))
-    first = db.groupBy("gene").agg(F.min_by("seq", "name").alias("first"))
-    return db.join(first, "gene").select("name", common_prefix(F.col("first"), F.col("seq")).alias("prefix"), common_suffix(F.col("first"), F.col("seq")).alias("suffix"))
+    other = db.select("gene", F.col("name").alias("other"), F.col("seq").alias("_seq"))
+    return db.join(other, "gene").where("name < other").select("name", "other", common_prefix("seq", "_seq").alias("prefix"), common_suffix("seq", "_seq").alias("suffix"))
 
 
 def exact_frequencies(spark, d):
@@ -121,8 +122,8 @@ def demultiplex(spark, d):
 
 
 def _indices(spark, d):
-    """Index rows numbered in file order (one small file)."""
-    return table(spark, d, "indices").withColumn("well", F.monotonically_increasing_id() + 1)
+    """Index rows numbered in file order."""
+    return files.numbered(table(spark, d, "indices"), "well")
 
 
 def demultiplex_stats(spark, d):
@@ -130,7 +131,9 @@ def demultiplex_stats(spark, d):
 
 
 def heptamer_search(spark, d):
-    return exact.heptamer_search(_reads(spark, d), _alleles(spark, d, locus="IGHV"), HEPTAMERS["IGHV"], 1, end=3)
+    """Every locus that has motifs, each with its own."""
+    parts = [exact.heptamer_search(_reads(spark, d), _alleles(spark, d, locus=locus), motifs, 1, end=3) for locus, motifs in HEPTAMERS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def heptamer_summary(spark, d):
@@ -138,21 +141,6 @@ def heptamer_summary(spark, d):
 
 
 def nearest_allele(spark, d):
-    return exact.nearest(table(spark, d, "heptamer"), "sequence", _alleles(spark, d, locus="IGHV"))
-
-
-def heptamer_search_loci(spark, d):
-    """heptamer_search for every locus that has motifs, each with its own."""
-    parts = [exact.heptamer_search(_reads(spark, d), _alleles(spark, d, locus=locus), motifs, 1, end=3) for locus, motifs in HEPTAMERS.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def heptamer_summary_loci(spark, d):
-    return exact.heptamer_summary(heptamer_search_loci(spark, d), 2, 0.05)
-
-
-def nearest_allele_all(spark, d):
-    """nearest_allele among the alleles of all loci."""
     return exact.nearest(table(spark, d, "heptamer"), "sequence", _alleles(spark, d))
 
 
@@ -161,7 +149,7 @@ def pwm_profile(spark, d):
 
 
 def cooccurrence_edges(spark, d):
-    return cohort.edges(table(spark, d, "haplotype"), "case", "allele_1", min_donors=5, min_support=3, min_jaccard=0.05)
+    return cohort.edges(table(spark, d, "haplotype"), "case", ["allele_1", "allele_2"], min_donors=5, min_support=3, min_jaccard=0.05)
 
 
 def cooccurrence_stats(spark, d):
@@ -266,9 +254,14 @@ def fasta_hash(spark, d):
 
 
 def sequence_functions(spark, d):
-    cigar = F.concat(F.lit("5N"), F.col("length").cast("string"), F.lit("M2D3I4M"))
-    return table(spark, d, "blast").where("qseq IS NOT NULL").select("qseq", "length").distinct().select(
-        "qseq", reverse_complement("qseq").alias("rc"), cigar_span(cigar).alias("span"), cigar_leading_skip(cigar).alias("skip"), hamming(F.left("qseq", F.lit(10)), F.right("qseq", F.lit(10))).cast("long").alias("ham"))
+    """Of every alignment: the segment's reverse complement, its differences
+    from the same stretch of its read, and a CIGAR of its counts."""
+    reads = _reads(spark, d).groupBy(F.col("name").alias("qseqid")).agg(F.min("genomic_sequence").alias("read"))
+    n = lambda c, op: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(op))).otherwise("")
+    cigar = F.concat(n("skipped", "N"), n("nident", "M"), n("mismatch", "X"), n("gapopen", "D"), n("clipped", "S"))
+    rows = table(spark, d, "blast").where("qseq IS NOT NULL").select("qseqid", "qseq", "qstart", "nident", "mismatch", "gapopen", (F.col("sstart") - 1).alias("skipped"), (F.col("qlen") - F.col("qend")).alias("clipped")).distinct().join(reads, "qseqid", "left")
+    stretch = F.substring("read", F.col("qstart").cast("int"), F.length("qseq"))
+    return rows.select("qseqid", "qseq", "qstart", cigar.alias("cigar"), reverse_complement("qseq").alias("rc"), cigar_span(cigar).alias("span"), cigar_leading_skip(cigar).alias("skip"), hamming(F.col("qseq"), stretch).cast("long").alias("ham"))
 
 
 def blast_best_hit(spark, d):
@@ -281,7 +274,7 @@ def blast_best_hit(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, d_scan, trim_barcodes, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, heptamer_search_loci, heptamer_summary_loci, nearest_allele_all, pwm_profile,
+    exact_counts, exact_v, exact_d, exact_j, exact_extension, border_statistics, border_by_gene, border_extensions, fasta_export, exact_reference_ratio, subject_names, allele_kmers, allele_common_ends, exact_frequencies, d_scan, trim_barcodes, demultiplex, demultiplex_stats, heptamer_search, heptamer_summary, nearest_allele, pwm_profile,
     cooccurrence_edges, cooccurrence_stats, cooccurrence_clusters, haplotype_calls, table_select, table_filter_pattern, table_filter_number, table_transform, table_aggregate, table_unique, table_sort,
     table_leftjoin, table_outerjoin, table_collect, table_exclude, filters_chain, filters_account, keyset_union, keyset_intersect, keyset_difference, fasta_diff,
     fasta_merge_first, fasta_merge_last, fasta_hash, sequence_functions, blast_best_hit,
@@ -316,6 +309,7 @@ _D = {
 }
 _J = {"heptamer": _cut("greatest(1, s - 7)", "s - 1"), "suffix": _cut("e + 1", "least(e + 13, n)")}
 _EXT = {"prefix": _PREFIX, "suffix": _cut("e + 1", "least(e + 20, n)")}
+_EXT |= {f"{k}_len": f"length({v})" for k, v in _EXT.items()}
 _type = lambda g: f"AND substr(a.name, 4, 1) = '{g}'"
 _COUNTS = _exact_sql("", {}, 2, 0.05, 1)
 _EXACT_V = _exact_sql(_type("V"), _V, 1, 0.05, 3)
@@ -325,10 +319,11 @@ _FREQ = f"""{_COUNTS}, t AS (SELECT *, CAST(coalesce(sum({_L}) OVER (PARTITION B
   w AS (SELECT * EXCLUDE (am, gm), "count"::DOUBLE / case_count AS allele_case_freq, gene_count::DOUBLE / case_count AS gene_case_freq, "count"::DOUBLE / am AS allele_median_ratio, gene_count::DOUBLE / gm AS gene_median_ratio,
     "count"::DOUBLE / sum("count") OVER (PARTITION BY well, "case", gene) AS allele_freq FROM u)
   SELECT * FROM w WHERE allele_median_ratio >= 0.1 AND NOT isnan(allele_median_ratio) AND gene_median_ratio >= 0.1 AND NOT isnan(gene_median_ratio)"""
-_MOTIFS = ", ".join(f"'{m}'" for m in HEPTAMERS["IGHV"])
-_HEPT = f"""WITH a AS (SELECT name AS db_name, seq AS full_match, substr(seq, 1, length(seq) - 3) AS trimmed_match, length(seq) AS db_length FROM allele_db WHERE starts_with(name, 'IGHV')),
+_MOTIFS = ", ".join(f"('{locus}', '{m}')" for locus, motifs in HEPTAMERS.items() for m in motifs)
+_HEPT = f"""WITH q AS (SELECT * FROM (VALUES {_MOTIFS}) v(locus, m)),
+  a AS (SELECT name AS db_name, seq AS full_match, substr(seq, 1, length(seq) - 3) AS trimmed_match, length(seq) AS db_length, left(name, 4) AS locus FROM allele_db WHERE left(name, 4) IN (SELECT locus FROM q)),
   p AS (SELECT row_number() OVER () AS id, a.*, substr(genomic_sequence, instr(genomic_sequence, trimmed_match) + length(trimmed_match)) AS suffix FROM demultiplex JOIN a ON instr(genomic_sequence, trimmed_match) > 0),
-  z AS (SELECT id, k, min(hamming(substr(suffix, k, 7), m)) AS d FROM p, range(1, length(suffix) - 6) t(k), (SELECT unnest([{_MOTIFS}]) AS m) q GROUP BY 1, 2),
+  z AS (SELECT id, k, min(hamming(substr(suffix, k, 7), m)) AS d FROM p JOIN q USING (locus), range(1, length(suffix) - 6) t(k) GROUP BY 1, 2),
   b AS (SELECT id, arg_min(k, d * 100000 + k) AS k FROM z WHERE d <= 1 GROUP BY id),
   f AS (SELECT db_name, full_match, trimmed_match, db_length, length(trimmed_match) + CASE WHEN k IS NULL THEN 0 ELSE k - 1 END AS full_length,
         trimmed_match || CASE WHEN k IS NULL THEN '' ELSE substr(suffix, 1, k - 1) END AS sequence, CASE WHEN k IS NULL THEN '' ELSE substr(suffix, k, 7) END AS heptamer FROM p LEFT JOIN b USING (id))"""
@@ -338,7 +333,8 @@ _BOTH = f"WITH a AS ({_MINE}), b AS ({_KNOWN})"
 _HASH = "'S' || lpad(CAST((('0x' || right(md5(seq), 4))::BIGINT % 10000) AS VARCHAR), 4, '0')"
 _rank = 'row_number() OVER (PARTITION BY "case", gene ORDER BY "count" DESC, label)'
 
-_EDGES = """WITH a AS (SELECT "case" AS c, allele_1 AS a FROM haplotype WHERE "case" IS NOT NULL AND allele_1 <> ''),
+_EDGES = """WITH RECURSIVE a AS (SELECT "case" AS c, trim(allele_1) AS a FROM haplotype WHERE "case" IS NOT NULL AND trim(allele_1) <> ''
+    UNION ALL SELECT "case", trim(allele_2) FROM haplotype WHERE "case" IS NOT NULL AND trim(allele_2) <> ''),
   s AS (SELECT DISTINCT c, a FROM a WHERE a IN (SELECT a FROM a GROUP BY a HAVING count(*) >= 5)), t AS (SELECT count(DISTINCT c)::DOUBLE AS n FROM s), k AS (SELECT a, count(*) AS n FROM s GROUP BY a),
   p AS (SELECT x.a AS allele_a, y.a AS allele_b, count(*) AS n_shared FROM s x JOIN s y ON x.c = y.c AND x.a < y.a GROUP BY 1, 2),
   e AS (SELECT allele_a, allele_b, ka.n AS n_a, kb.n AS n_b, n_shared, n_shared::DOUBLE / (ka.n + kb.n - n_shared) AS jaccard, ka.n::DOUBLE * (t.n - ka.n) * kb.n * (t.n - kb.n) AS v, t.n * n_shared - ka.n * kb.n AS o FROM p, t, k ka, k kb WHERE ka.a = allele_a AND kb.a = allele_b)"""
@@ -355,13 +351,13 @@ SQL = {
     "subject_names": r"""WITH s AS (SELECT DISTINCT split_part(sseqid, '|', 1) AS subject FROM blast WHERE sseqid IS NOT NULL), n AS (SELECT DISTINCT name FROM allele_db)
       SELECT subject, coalesce(a.name, b.name) AS db_name FROM s LEFT JOIN n a ON subject = a.name LEFT JOIN n b ON regexp_replace(subject, '_S\d+$', '') = b.name""",
     "allele_kmers": "SELECT kmer, count(*) AS n FROM (SELECT DISTINCT name, seq, substr(seq, i, 8) AS kmer FROM allele_db, range(1, length(seq) - 6) t(i)) GROUP BY 1 HAVING count(*) > 1",
-    "allele_common_ends": f"""WITH f AS (SELECT split_part(name, '*', 1) AS gene, arg_min(seq, name) AS x FROM allele_db GROUP BY 1)
-      SELECT name, {_lcp('x', 'seq')} AS prefix, reverse({_lcp('reverse(x)', 'reverse(seq)')}) AS suffix FROM allele_db JOIN f ON gene = split_part(name, '*', 1)""",
+    "allele_common_ends": f"""SELECT a.name, b.name AS other, {_lcp('a.seq', 'b.seq')} AS prefix, reverse({_lcp('reverse(a.seq)', 'reverse(b.seq)')}) AS suffix
+      FROM allele_db a JOIN allele_db b ON split_part(a.name, '*', 1) = split_part(b.name, '*', 1) AND a.name < b.name""",
     "border_statistics": f"{_BORDER} SELECT * FROM b",
     "border_by_gene": f"{_BORDER} SELECT gene, avg(rejected_ratio) AS mean_rejected_ratio, CAST(sum(matched_total) AS BIGINT) AS matched_total, CAST(sum(rejected_border) AS BIGINT) AS rejected_border, count(*) AS num_donors FROM b GROUP BY 1",
     "border_extensions": f"""SELECT gene, quantile_disc(v, 0.25) AS extension FROM (SELECT split_part(a.name, '*', 1) AS gene, least(40, greatest(0, instr(r, a.seq) - 1 - least(20, length(r)))) AS v
       FROM (SELECT genomic_sequence AS r FROM demultiplex) d JOIN allele_db a ON instr(r, a.seq) > 0 WHERE a.seq <> '' {_type('J')}) GROUP BY 1""",
-    "fasta_export": "SELECT concat_ws(' ', trim(replace(name, '*', '')), min(description)) AS header, seq FROM fasta WHERE seq IS NOT NULL AND regexp_matches(name, '^IG[HK]V') AND regexp_matches(description, 'allele') GROUP BY name, seq",
+    "fasta_export": "SELECT rtrim(regexp_replace(trim(replace(name, '*', '')), '^IG[HK]V', '')) AS header, seq FROM fasta WHERE seq IS NOT NULL AND regexp_matches(name, '^IG[HK]V') AND regexp_matches(description, 'allele') GROUP BY name, seq",
     "cooccurrence_stats": f"{_EDGES} SELECT allele_a, allele_b, n_a, n_b, n_shared, jaccard, CASE WHEN v <= 0 THEN 0 ELSE o / sqrt(v) END AS rho FROM e WHERE n_shared >= 3 AND jaccard >= 0.05",
     "exact_counts": f"{_COUNTS} SELECT * FROM exact",
     "exact_v": f"{_EXACT_V} SELECT * FROM exact",
@@ -377,7 +373,7 @@ SQL = {
     "heptamer_search": f"{_HEPT} SELECT * FROM f",
     "heptamer_summary": f"""{_HEPT}, g AS (SELECT db_name, sequence, heptamer, count(*) AS "count" FROM f GROUP BY ALL), h AS (SELECT *, "count"::DOUBLE / max("count") OVER (PARTITION BY db_name) AS ratio FROM g)
       SELECT * FROM h WHERE "count" >= 2 AND ratio >= 0.05""",
-    "nearest_allele": """WITH v AS (SELECT DISTINCT sequence AS value FROM heptamer WHERE sequence IS NOT NULL), p AS (SELECT value, name, levenshtein(value, seq) AS d FROM v, allele_db WHERE starts_with(name, 'IGHV')),
+    "nearest_allele": """WITH v AS (SELECT DISTINCT sequence AS value FROM heptamer WHERE sequence IS NOT NULL), p AS (SELECT value, name, levenshtein(value, seq) AS d FROM v, allele_db),
       k AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY d, name) AS r FROM p) SELECT value, name AS nearest, d AS distance FROM k WHERE r = 1""",
     "pwm_profile": """WITH m AS (SELECT upper(trim(heptamer)) AS h FROM heptamer WHERE length(trim(heptamer)) = 7), l AS (SELECT i - 1 AS pos, substr(h, i, 1) AS base FROM m, range(1, 8) t(i)),
       c AS (SELECT b.pos, b.base, count(l.base) + 0.0001::DOUBLE AS n FROM (SELECT pos, base FROM range(0, 7) q(pos), (SELECT unnest(['A', 'C', 'G', 'T']) AS base)) b LEFT JOIN l ON b.pos = l.pos AND b.base = l.base GROUP BY 1, 2)
@@ -411,8 +407,14 @@ SQL = {
     "fasta_merge_first": "SELECT replace(name, '*', '') AS name, seq FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY file, replace(name, '*', '')) AS k FROM fasta WHERE seq IS NOT NULL) WHERE k = 1",
     "fasta_merge_last": "SELECT name, seq FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY file DESC, name DESC) AS k FROM fasta WHERE seq IS NOT NULL) WHERE k = 1",
     "fasta_hash": f"SELECT DISTINCT name, {_HASH} AS hash, split_part(name, '_', 1) || '_' || {_HASH} AS new_name FROM fasta WHERE seq IS NOT NULL",
-    "sequence_functions": """SELECT qseq, CASE WHEN regexp_full_match(upper(qseq), '[ACGTMRWSYKVHDBN]*') THEN reverse(translate(upper(qseq), 'ACGTMRWSYKVHDBN', 'TGCAKYWSRMBDHVN')) ELSE qseq END AS rc,
-      5 + length + 2 + 4 AS span, 5::BIGINT AS skip, hamming(left(qseq, 10), right(qseq, 10)) AS ham FROM (SELECT DISTINCT qseq, length FROM blast WHERE qseq IS NOT NULL)""",
+    "sequence_functions": """WITH r AS (SELECT name AS qseqid, min(genomic_sequence) AS read FROM demultiplex GROUP BY 1),
+      b AS (SELECT DISTINCT qseqid, qseq, qstart, nident, mismatch, gapopen, sstart - 1 AS skipped, qlen - qend AS clipped FROM blast WHERE qseq IS NOT NULL),
+      x AS (SELECT *, substr(read, qstart, length(qseq)) AS stretch FROM b LEFT JOIN r USING (qseqid))
+      SELECT qseqid, qseq, qstart, CASE WHEN skipped > 0 THEN skipped || 'N' ELSE '' END || CASE WHEN nident > 0 THEN nident || 'M' ELSE '' END || CASE WHEN mismatch > 0 THEN mismatch || 'X' ELSE '' END
+        || CASE WHEN gapopen > 0 THEN gapopen || 'D' ELSE '' END || CASE WHEN clipped > 0 THEN clipped || 'S' ELSE '' END AS cigar,
+      CASE WHEN regexp_full_match(upper(qseq), '[ACGTMRWSYKVHDBN]*') THEN reverse(translate(upper(qseq), 'ACGTMRWSYKVHDBN', 'TGCAKYWSRMBDHVN')) ELSE qseq END AS rc,
+      greatest(skipped, 0) + greatest(nident, 0) + greatest(mismatch, 0) + greatest(gapopen, 0) AS span, greatest(skipped, 0) AS skip,
+      CASE WHEN length(stretch) = length(qseq) THEN hamming(qseq, stretch) WHEN stretch IS NULL THEN NULL ELSE -1 END AS ham FROM x""",
     "blast_best_hit": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY pident DESC, qcovhsp DESC, qcovs DESC, bitscore DESC, sseqid DESC, length DESC, slen DESC, mismatch DESC, qstart DESC, qend DESC, qlen DESC, qseq DESC NULLS LAST) AS r FROM blast WHERE sseqid IS NOT NULL)
       SELECT qseqid, sseqid, length, mismatch, length::DOUBLE / slen AS scov, split_part(sseqid, '*', 1) AS gene FROM k WHERE r = 1 AND qstart >= 10 AND qlen - qend >= 10 AND length::DOUBLE / slen > 0.3 AND NOT starts_with(sseqid, 'P')""",
 }

@@ -20,23 +20,55 @@ _LOW = -(10**9)
 
 def align(affix: str, read: str) -> tuple[int, int, int]:
     """(first, end, matches): the stretch read[first:end] that the whole affix
-    aligns to best (the earliest end among equals), and its matching bases. Row
-    by row: gaps along the read come from a running maximum."""
-    n, m = len(affix), len(read)
-    q = np.frombuffer(read.encode("utf-32-le"), np.uint32)
-    h = np.zeros((n + 1, m + 1), np.int64)
-    across = np.full((n + 1, m + 1), _LOW, np.int64)  # gap in the affix
-    down = np.full((n + 1, m + 1), _LOW, np.int64)  # gap in the read
-    offset = np.arange(m + 1) * EXTEND
+    aligns to best (the earliest end among equals), and its matching bases."""
+    return align_many(affix, [read])[0][:3]
+
+
+def align_many(affix: str, reads: list[str], cells: int = 1 << 22) -> list[tuple[int, int, int, int, int, int]]:
+    """(first, end, matches, score, edits, gaps) of the whole affix against each
+    read, all reads at once: row by row of the affix, where gaps along the read
+    come from a running maximum. edits are mismatches and gaps, gaps those in
+    the affix. Reads are taken in blocks of about `cells` cells."""
+    n = len(affix)
+    order = sorted(range(len(reads)), key=lambda i: len(reads[i]))
+    out: list = [None] * len(reads)
+    at = 0
+    while at < len(order):
+        size = 1
+        while at + size < len(order) and (n + 1) * (len(reads[order[at + size]]) + 1) * (size + 1) <= cells:
+            size += 1
+        some = order[at : at + size]
+        for i, r in zip(some, _align_block(affix, [reads[i] for i in some])):
+            out[i] = r
+        at += size
+    return out
+
+
+def _align_block(affix: str, reads: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+    n, m, b = len(affix), max(map(len, reads)), len(reads)
+    sizes = np.array([len(r) for r in reads])
+    q = np.zeros((b, m), np.uint32)
+    for i, r in enumerate(reads):
+        q[i, : len(r)] = np.frombuffer(r.encode("utf-32-le"), np.uint32)
+    inside = np.arange(m + 1)[None, :] <= sizes[:, None]
+    h = np.zeros((n + 1, b, m + 1), np.int32)
+    across = np.full((n + 1, b, m + 1), _LOW, np.int32)  # gap in the affix
+    down = np.full((n + 1, b, m + 1), _LOW, np.int32)  # gap in the read
+    offset = (np.arange(m + 1) * EXTEND).astype(np.int32)
     for i in range(1, n + 1):
         down[i] = np.maximum(h[i - 1] - OPEN, down[i - 1] - EXTEND)
         best = down[i].copy()
-        best[1:] = np.maximum(best[1:], h[i - 1, :-1] + np.where(q == ord(affix[i - 1]), MATCH, MISMATCH))
-        running = np.maximum.accumulate(best + offset)
-        across[i, 1:] = running[:-1] - offset[1:] - OPEN + EXTEND
+        best[:, 1:] = np.maximum(best[:, 1:], h[i - 1, :, :-1] + np.where(q == ord(affix[i - 1]), MATCH, MISMATCH))
+        running = np.maximum.accumulate(best + offset, axis=1)
+        across[i, :, 1:] = running[:, :-1] - offset[1:] - OPEN + EXTEND
         h[i] = np.maximum(best, across[i])
-    end = j = int(h[n].argmax())
-    i, state, matches = n, "h", 0
+    ends = np.where(inside, h[n], _LOW).argmax(axis=1)
+    return [_trace(affix, reads[k], h[:, k], across[:, k], down[:, k], int(ends[k])) for k in range(b)]
+
+
+def _trace(affix: str, read: str, h: np.ndarray, across: np.ndarray, down: np.ndarray, end: int) -> tuple[int, int, int, int, int, int]:
+    i, j, state, matches, edits, gaps = len(affix), end, "h", 0, 0, 0
+    score = int(h[i, j])
     while i > 0:
         if state == "h":
             if h[i, j] == down[i, j]:
@@ -44,34 +76,46 @@ def align(affix: str, read: str) -> tuple[int, int, int]:
             elif h[i, j] == across[i, j]:
                 state = "across"
             else:
-                matches += affix[i - 1] == read[j - 1]
+                same = affix[i - 1] == read[j - 1]
+                matches, edits = matches + same, edits + (not same)
                 i, j = i - 1, j - 1
         elif state == "down":
             state = "h" if down[i, j] == h[i - 1, j] - OPEN else "down"
-            i -= 1
+            i, edits = i - 1, edits + 1
         else:
             state = "h" if across[i, j] == h[i, j - 1] - OPEN else "across"
-            j -= 1
-    return j, end, matches
+            j, edits, gaps = j - 1, edits + 1, gaps + 1
+    return j, end, matches, score, edits, gaps
+
+
+def trim_many(rows: list[tuple[str | None, str | None, str | None]], min_quality: float) -> list[tuple[str | None, str]]:
+    """`trim` of many (read, prefix, suffix); reads with one affix are aligned
+    together."""
+    cores: list[str | None] = [r.replace("-", "") if r else None for r, _, _ in rows]
+    status = ["ok" if r else "empty" for r, _, _ in rows]
+    for column, side in ((1, "prefix"), (2, "suffix")):
+        groups: dict[str, list[int]] = {}
+        for k, row in enumerate(rows):
+            if status[k] == "ok" and row[column]:
+                if cores[k]:
+                    groups.setdefault(row[column], []).append(k)
+                else:
+                    status[k] = f"{side} not found"
+        for affix, members in groups.items():
+            for k, (first, end, matches, *_) in zip(members, align_many(affix, [cores[k] for k in members])):
+                if matches < min_quality * len(affix):
+                    status[k] = f"{side} not found"
+                else:
+                    cores[k] = cores[k][end:] if side == "prefix" else cores[k][:first]
+    short = [s == "ok" and len(c) < MIN_CORE for s, c in zip(status, cores)]
+    return [(c, "ok") if s == "ok" and not x else (None, "short core" if x else s) for c, s, x in zip(cores, status, short)]
 
 
 def trim(read: str | None, prefix: str | None, suffix: str | None, min_quality: float) -> tuple[str | None, str]:
     """(core, status): prefix first, then the suffix on the rest. An empty or
     null affix leaves its side alone; a null read, a poor alignment or a core
     under `MIN_CORE` bases fails."""
-    if not read:
-        return None, "empty"
-    core = read.replace("-", "")
-    for affix, side in ((prefix, "prefix"), (suffix, "suffix")):
-        if not affix:
-            continue
-        if not core:
-            return None, f"{side} not found"
-        first, end, matches = align(affix, core)
-        if matches < min_quality * len(affix):
-            return None, f"{side} not found"
-        core = core[end:] if side == "prefix" else core[:first]
-    return (core, "ok") if len(core) >= MIN_CORE else (None, "short core")
+    return trim_many([(read, prefix, suffix)], min_quality)[0]
 
 
 def trimmed(df: DataFrame, read: str, prefix: str, suffix: str, reference: str, min_quality: float = 0.75) -> DataFrame:
@@ -82,7 +126,7 @@ def trimmed(df: DataFrame, read: str, prefix: str, suffix: str, reference: str,
 
     @F.pandas_udf("core string, status string")
     def run(r: pd.Series, p: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([trim(*x, min_quality) for x in zip(r, p, s)], columns=["core", "status"])
+        return pd.DataFrame(trim_many(list(zip(r, p, s)), min_quality), columns=["core", "status"])
 
     done = df.select(*keys).distinct().withColumn("_t", run("_0", "_1", "_2"))
     on: Column = F.col(read).eqNullSafe(F.col("_0")) & F.col(prefix).eqNullSafe(F.col("_1")) & F.col(suffix).eqNullSafe(F.col("_2"))

@@ -34,13 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/seqloom-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/seqloom-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release() -> int:

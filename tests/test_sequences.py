@@ -54,9 +54,9 @@ def test_every_locus_is_searched(spark, tmp_path):
     spark.createDataFrame(list(alleles.items()), "name string, seq string").write.parquet(str(tmp_path / "allele_db.parquet"))
     spark.createDataFrame(reads, "well long, case string, name string, genomic_sequence string").write.parquet(str(tmp_path / "demultiplex.parquet"))
     spark.createDataFrame([(s[1:],) for s in alleles.values()] + [(None,)], "sequence string").write.parquet(str(tmp_path / "heptamer.parquet"))
-    got = {(r.db_name, r.sequence, r.heptamer, r["count"]) for r in queries.heptamer_summary_loci(spark, str(tmp_path)).collect()}
+    got = {(r.db_name, r.sequence, r.heptamer, r["count"]) for r in queries.heptamer_summary(spark, str(tmp_path)).collect()}
     assert got == {(x, alleles[x][:-3] + "TT", motifs[x[:4]], 2) for x in alleles if x[:4] in motifs}
-    assert {(r.value, r.nearest, r.distance) for r in queries.nearest_allele_all(spark, str(tmp_path)).collect()} == {(s[1:], x, 1) for x, s in alleles.items()}
+    assert {(r.value, r.nearest, r.distance) for r in queries.nearest_allele(spark, str(tmp_path)).collect()} == {(s[1:], x, 1) for x, s in alleles.items()}
 
 
 def test_cohort(spark):
