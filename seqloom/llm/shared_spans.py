@@ -17,8 +17,8 @@ No shared window is lost: it contains a repeated fingerprint, whose
 neighbourhood is grouped whole. The sketch's size is fixed; if a table fills it,
 more fingerprints are grouped (about one in 25 characters, at most), with the
 same result. The second pass finds the repeated ones by a filter with `FILL`
-counters for each, so one in `FILL` others passes by chance; where they are too
-many for that, fingerprints and records are joined exactly instead.
+counters or more for each, so one in `FILL` others passes by chance at most; where
+they are too many for that, fingerprints and records are joined exactly instead.
 
 Records are compared without letter case, repeated rows of one record are one,
 null and empty texts and those shorter than L share nothing, records with a
@@ -39,7 +39,7 @@ from ..operators.sketch import build_sketch, cells, flagged, width_for
 from ..workdir import materialize
 
 WIDTH = 1 << 26
-FILL = 64  # counters of the second filter for a repeated fingerprint
+FILL, WANTED = 64, 1024  # counters of the second filter for a repeated fingerprint: at least, and where there is room
 CHUNK = 64_000  # characters hashed at once: what fits a core's cache
 SHIFT = np.uint64(32)  # the second filter uses other bits of the hash
 
@@ -129,7 +129,7 @@ def shared_windows(records: DataFrame, length: int = 150, spread: int = 51, widt
     schema = "h long, g int, rec_id long, start int"
     many = exact.count()
     if FILL * many <= filter_width:
-        size = width_for(FILL * many)
+        size = width_for(WANTED * many, most=filter_width)
 
         def repeats(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield batch.column("fp").to_numpy().view(np.uint64) >> SHIFT
