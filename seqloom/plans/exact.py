@@ -266,10 +266,11 @@ def heptamer_search(reads: DataFrame, alleles: DataFrame, motifs: list[str], max
     trimmed = alleles.select(F.col("name").alias("db_name"), F.col("seq").alias("full_match"), F.substring(F.col("seq"), F.lit(begin + 1), F.length("seq") - begin - end).alias("trimmed_match"), F.length("seq").cast("long").alias("db_length"))
     found = contains(reads.select("genomic_sequence"), "genomic_sequence", trimmed, "trimmed_match")
     suffix = F.substring(F.col("genomic_sequence"), F.col("start") + F.length("trimmed_match"), F.length("genomic_sequence"))
-    near = F.create_map(*[F.lit(x) for w, d in sorted(neighbours(motifs, max_distance).items()) for x in (w, d)])
-    windows = F.filter(F.transform(F.sequence(F.lit(1), F.length("suffix") - size), lambda k: F.struct(F.try_element_at(near, F.substring(F.col("suffix"), k, F.lit(size))).alias("d"), k.alias("k"))), lambda x: x["d"].isNotNull())
+    # any letter but A, C, G and T differs from all of a motif's: all of them count as N
+    near = F.create_map(*[F.lit(x) for w, d in sorted(neighbours(motifs, max_distance, "ACGTN").items()) for x in (w, d)])
+    windows = F.filter(F.transform(F.sequence(F.lit(1), F.length("suffix") - size), lambda k: F.struct(F.try_element_at(near, F.substring(F.col("_plain"), k, F.lit(size))).alias("d"), k.alias("k"))), lambda x: x["d"].isNotNull())
     best = F.when(F.length("suffix") > size, F.array_min(windows))
-    rows = found.withColumn("suffix", suffix).withColumn("k", best["k"])
+    rows = found.withColumn("suffix", suffix).withColumn("_plain", F.regexp_replace("suffix", "[^ACGT]", "N")).withColumn("k", best["k"])
     extra = F.when(F.col("k").isNull(), "").otherwise(F.substring(F.col("suffix"), F.lit(1), F.col("k") - 1))
     motif = F.when(F.col("k").isNull(), "").otherwise(F.substring(F.col("suffix"), F.col("k"), F.lit(size)))
     return rows.select("db_name", "full_match", "trimmed_match", "db_length", (F.length("trimmed_match") + F.length(extra)).cast("long").alias("full_length"), F.concat("trimmed_match", extra).alias("sequence"), motif.alias("heptamer"))

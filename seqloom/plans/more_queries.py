@@ -430,7 +430,7 @@ def pattern_alleles(spark, d):
 
 def profile_alleles(spark, d):
     """By combinations of k-mers and profiles of the alleles' ends."""
-    return patterns.discover_by_combinations(_reads(spark, d), _alleles(spark, d, "V"), 9, 3, 50, min_length=100, min_count=1)
+    return patterns.discover_by_combinations(_reads(spark, d), _alleles(spark, d, "V"), 9, 3, 50, min_length=20, min_count=1)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -475,7 +475,8 @@ _COMPONENTS = f"""{core._EDGES}, g AS (SELECT *, CASE WHEN v <= 0 THEN 0 ELSE o
   groups AS (SELECT min(y) AS group_id, x AS allele FROM reach GROUP BY x)"""
 _choose = lambda n, r: f"(lgamma({n} + 1) - lgamma({r} + 1) - lgamma({n} - {r} + 1))"
 _HAMMING = """WITH w AS (SELECT DISTINCT genomic_sequence AS r FROM demultiplex WHERE genomic_sequence <> '' AND NOT contains(genomic_sequence, 'N')),
-  x AS (SELECT r, name, seq, i, hamming(substr(r, i, length(seq)), seq) AS d FROM w, (SELECT DISTINCT name, seq FROM allele_db WHERE substr(name, 4, 1) = 'D') a, range(1, length(r) - length(seq) + 2) t(i)),
+  c AS (SELECT r, name, seq FROM w JOIN (SELECT DISTINCT name, seq FROM allele_db WHERE substr(name, 4, 1) = 'D') a ON contains(r, left(seq, length(seq) // 2)) OR contains(r, substr(seq, length(seq) // 2 + 1))),
+  x AS (SELECT r, name, seq, i, hamming(substr(r, i, length(seq)), seq) AS d FROM c, range(1, length(r) - length(seq) + 2) t(i)),
   b AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, name, i, seq) AS k FROM x WHERE d <= 1),
   f AS (SELECT well, "case", r AS read, b.name AS closest_name, d AS distance, i AS start, i + length(seq) - 1 AS stop, substr(r, i - 7, 7) AS prefix, substr(r, i, length(seq)) AS middle, substr(r, i + length(seq), 7) AS suffix, seq AS db_sequence
         FROM b JOIN demultiplex ON genomic_sequence = r WHERE k = 1 AND i - 7 > 0 AND length(r) > i + length(seq) + 6)"""
