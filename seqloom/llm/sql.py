@@ -77,7 +77,7 @@ _LEAKS = f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text
 
 _DRAWS = """WITH t AS (SELECT DISTINCT trim(source) AS source, max_repeats FROM mix_targets),
  d AS (SELECT doc_id, t.source, max_repeats, (('0x' || left(md5(doc_id || ':20210301'), 13))::BIGINT + 0.5) / 4503599627370496 AS u FROM documents d JOIN t ON lower(trim(d.source)) = lower(t.source)),
- c AS (SELECT n, sum(exp(-1.3) * pow(1.3, n) / factorial(CAST(n AS INTEGER))) OVER (ORDER BY n) AS below FROM range(0, 64) r(n))
+ c AS (SELECT n, sum(exp(n * ln(1.3) - 1.3 - lgamma(n + 1))) OVER (ORDER BY n) AS below FROM range(0, 64) r(n))
  SELECT doc_id, source, (SELECT count(*) FROM c WHERE n < max_repeats AND u > below) AS copies FROM d"""
 
 SQL: dict[str, str] = {
