@@ -392,8 +392,9 @@ def truncation_scores(documents: DataFrame, sample: int = SAMPLE, seed: int = 11
 
 
 def truncation_report(documents: DataFrame, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
-    """(precision, recall, prior) on held-out artificial cuts and the sample's
-    texts at lengths that don't stand out."""
+    """(precision, recall, prior): recall on held-out artificial cuts, the
+    precision to expect of the sample's texts at lengths that don't stand out, and
+    the share of cut ones among these."""
     found = _scored(documents, sample, seed)[1]
     return documents.sparkSession.createDataFrame([tuple(found[c] for c in ("precision", "recall", "prior"))], "precision double, recall double, prior double")
 
@@ -477,12 +478,13 @@ def _trained(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: n
         prior = float(np.clip((weights[intact] * found[intact]).sum() / max(weights[intact].sum(), 1e-9), 0.001, 0.5))
     w = np.zeros((2, DIMS), np.float32)
     w[:, used] = models
-    return w, _measured(found[cut == 1], found[intact], own[intact], prior)
+    return w, _measured(found[cut == 1], found[intact], (weights * (1 - found))[intact], prior)
 
 
 def _measured(cuts: np.ndarray, others: np.ndarray, mass: np.ndarray, prior: float) -> dict[str, float]:
-    """Precision and recall for held-out scores of artificial cuts and of texts
-    that are intact with a probability of `mass`, mixed at the prior."""
+    """Recall for held-out scores of artificial cuts, and the precision that the
+    scores of the sample's own texts, held out as well, let expect: they are intact
+    with a probability of `mass`, and mixed with cuts at the prior."""
     recall = float((cuts >= THRESHOLD).mean()) if len(cuts) else 0.0
     false = float(mass[others >= THRESHOLD].sum() / max(mass.sum(), 1e-9))
     hits, alarms = prior * recall, (1 - prior) * false
