@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,20 @@ HEADERS = Settings(k=4, similarity=0.5, anchor_k=8, sample=64, max_bucket=24)
 COMPARED = [("demultiplex", "name", "genomic_sequence", SEQUENCES), ("fasta", "name", "seq", SEQUENCES), ("blast", "sseqid", "sseqid", HEADERS)]
 
 
+def _compared(spark: SparkSession, sf_dir: str, operator: Callable[..., DataFrame], *columns: str) -> DataFrame:
+    """The operator's results for all tables. Their jobs are submitted side by
+    side, as many of them are too small to fill the executors."""
+    run = lambda x: operator(table(spark, sf_dir, x[0]), *x[1:]).select(F.lit(x[0]).alias("tbl"), *columns)
+    with ThreadPoolExecutor(len(COMPARED)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, COMPARED))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [near_duplicate_pairs(table(spark, sf_dir, t), k, v, s).select(F.lit(t).alias("tbl"), "key_a", "key_b") for t, k, v, s in COMPARED]
-    return reduce(DataFrame.unionByName, parts)
+    return _compared(spark, sf_dir, near_duplicate_pairs, "key_a", "key_b")
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [near_duplicate_classes(table(spark, sf_dir, t), k, v, s).select(F.lit(t).alias("tbl"), "key", "class_id", "copies", "links") for t, k, v, s in COMPARED]
-    return reduce(DataFrame.unionByName, parts)
+    return _compared(spark, sf_dir, near_duplicate_classes, "key", "class_id", "copies", "links")
 
 
 def _allele_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +95,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each affected post with its number of leaked items and the smallest."""
-    return p7_found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
+    """Each affected post with the items that leaked into it."""
+    items = F.array_join(F.array_sort(F.collect_list("item_id")).cast("array<string>"), ",")
+    return p7_found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), items.alias("items"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

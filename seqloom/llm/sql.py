@@ -93,5 +93,5 @@ SQL: dict[str, str] = {
     "p6_counts": f"{_TERMS} SELECT field_name, term, records, total, mark FROM m",
     "p7_found": f"{_LEAKS} SELECT doc_id, item_id FROM l",
     "p8_draws": _DRAWS,
-    "p7_report": f"{_LEAKS} SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM l GROUP BY doc_id",
+    "p7_report": f"{_LEAKS} SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM l GROUP BY doc_id",
 }
