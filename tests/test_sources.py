@@ -82,3 +82,20 @@ def test_named_files_and_limits(spark, tmp_path):
     by = df.select(F.lit("x").alias("case"), "name", F.lit("AC").alias("seq"), F.lit("II").alias("quality"))
     files.write_by_case(by, str(tmp_path / "split"))
     assert sorted(spark.read.text(str(tmp_path / "split" / "case=x")).toPandas()["value"]) == sorted(["@r1", "AC", "+", "II", "@r2", "AC", "+", "II"])
+
+
+def test_outside_aligner_and_reports(spark, tmp_path):
+    from seqloom.sources import outside, reports
+
+    assert outside.option_tokens('-task x --evalue 3 --a-b "c d" --') == ["-task", "x", "-evalue", "3", "-a-b", "c d", "--"]
+    assert outside.version_within("tool: 2.15.0+", (2, 15, 0), (2, 17, 0)) and not outside.version_within("tool 2.9.1", (2, 15, 0), (2, 17, 0)) and not outside.version_within("", (1,), (2,))
+    script = tmp_path / "fake.py"
+    script.write_text("import sys\nfor line in sys.stdin:\n    if line[0] == '>':\n        print('\\t'.join([line[1:].strip(), 's', '99.5', *['1'] * 4, '80', '80', *['1'] * 6, '0.001', '50', 'plus', 'ACGT']))\n")
+    reads = spark.createDataFrame([("a", "ACGT"), ("b", ""), (None, "AC"), ("c", "GG")], "name string, seq string")
+    import sys
+
+    rows = outside.search_outside(reads, "name", "seq", [sys.executable, str(script)]).collect()
+    assert sorted(r.qseqid for r in rows) == ["a", "c"] and rows[0].pident == 99.5 and rows[0].qstart == 1
+    table = reports.count_table(spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "k string"), "k").collect()
+    assert [(r.k, r["count"]) for r in table] == [("x", 2), (None, 1), ("y", 1)]
+    assert reports.bars([("a", 4), ("bb", 2)], 4) == " a #### 4\nbb ## 2" and reports.bars([]) == ""
