@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +25,8 @@ COMPARED = [("demultiplex", "name", "genomic_sequence", SEQUENCES), ("fasta", "n
 
 
 def _compared(spark: SparkSession, sf_dir: str, operator: Callable[..., DataFrame], *columns: str) -> DataFrame:
-    """The operator's results for all tables. Their jobs are submitted side by
-    side, as many of them are too small to fill the executors."""
-    run = lambda x: operator(table(spark, sf_dir, x[0]), *x[1:]).select(F.lit(x[0]).alias("tbl"), *columns)
-    with ThreadPoolExecutor(len(COMPARED)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(run, COMPARED))
+    """The operator's results for all tables."""
+    return reduce(DataFrame.unionByName, [operator(table(spark, sf_dir, t), *x).select(F.lit(t).alias("tbl"), *columns) for t, *x in COMPARED])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
