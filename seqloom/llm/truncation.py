@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import mix64
 from ..workdir import materialize
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 ITEMS = 1 << 21
 DIMS = 1 << 20
 INTACT, CUT, FILLS = 0, 1, 2  # labels; the last is an intact text that fills its field
@@ -62,6 +62,8 @@ STANDS_OUT = 4.0  # an excess from which a length is a candidate for a field lim
 TOKEN = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_")
 _WITH_BREAKS = re.compile(r"https?://\S+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|\n|[^\w\s]|_")
 _BROKEN = re.compile(r"(?:</?[a-zA-Z]?[^<>\n]{0,80}|\[/?[a-zA-Z]?[^\[\]\n]{0,80}|&#?\w{0,8}|�+)$")
+_LONGEST = 84  # characters that a broken tag or entity has at most
+_SIGNED = re.compile(r"\n-- ?\n")
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*>|\[/?[a-zA-Z][^\[\]\n]*\]|&#?\w{1,8};")
 _CLOSERS = "\"'”’»)]}*_"
 _ENDS = ".!?…:;"
@@ -95,17 +97,20 @@ class _Vocabulary:
         self.kind: list[int] = [0]  # 0 other, 1 word, 2 stop, 3 line break
 
     def numbers(self, tokens: list[str]) -> list[int]:
-        get, out = self.number.get, []
-        for token in tokens:
-            n = get(token)
-            if n is None:
-                n = self.number[token] = len(self.hash)
-                word = token[0].isalnum()
-                self.hash.append(_hash(_norm(token)) if word else 0)
-                self.kind.append(1 if word else 3 if token == "\n" else 2 if token[0] in _STOPS else 0)
-            out.append(n)
+        out = [*map(self.number.get, tokens)]
+        if None in out:
+            for i, token in enumerate(tokens):
+                if out[i] is None:
+                    out[i] = self.number.get(token) or self._add(token)
         return out
 
+    def _add(self, token: str) -> int:
+        n = self.number[token] = len(self.hash)
+        word = token[0].isalnum()
+        self.hash.append(_hash(_norm(token)) if word else 0)
+        self.kind.append(1 if word else 3 if token == "\n" else 2 if token[0] in _STOPS else 0)
+        return n
+
 
 def run_counts(texts: list[str], vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, times, times that a sentence or line ends after it) of the runs of
@@ -191,7 +196,7 @@ def ending_features(text: str, limit: str) -> tuple[list[str], tuple[int, int, i
     body = text.rstrip()
     tail = body[-400:]
     f = ["bias", f"limit {limit}", f"space {text != body and text[-1:] or ''}"]
-    broken = _BROKEN.search(tail)
+    broken = _BROKEN.search(tail, max(0, len(tail) - _LONGEST)) if any(c in tail for c in "<[&\ufffd") else None
     if broken and broken.group():
         kind = broken.group()[0]
         closed = ""
@@ -202,23 +207,26 @@ def ending_features(text: str, limit: str) -> tuple[list[str], tuple[int, int, i
         # what the broken piece follows counts as the end, too
         tail = tail[: broken.start()].rstrip() or tail
     line = tail.rsplit("\n", 1)[-1]
-    tokens = TOKEN.findall(tail[-200:])[-6:]
+    tokens = TOKEN.findall(tail[-120:])[-6:]
     normal = [_norm(t) for t in tokens]
     c1, c2 = _char_class(tail[-1:] or " "), _char_class(tail[-2:-1] or " ")
     f += [f"c1 {c1}", f"c2 {c2}{c1}", f"c3 {_char_class(tail[-3:-2] or ' ')}{c2}{c1}"]
     f += [f"t1 {' '.join(normal[-1:])}", f"t2 {' '.join(normal[-2:])}", f"t3 {' '.join(normal[-3:])}"]
     last = tail.rstrip(_CLOSERS)[-1:]
     f.append(f"stop {last in _ENDS and last != '' and last or ''} {tail[-1:] in _CLOSERS}")
-    signed = re.search(r"\n-- ?\n", tail[-160:])
-    state = f"sig{tail[-160:][signed.end() :].count(chr(10))}" if signed else "quote" if line.startswith(">") else "line1" if len(line) == len(tail) else "line"
+    signed = _SIGNED.search(tail, max(0, len(tail) - 160))
+    state = f"sig{tail.count(chr(10), signed.end())}" if signed else "quote" if line.startswith(">") else "line1" if len(line) == len(tail) else "line"
     f.append(f"in {state}")
     f.append(f"in {state} {c1} {len(line) // 15}")
     f.append(f"short {min(len(line), 40) // 8} {c1}")
     if tokens and tokens[-1].startswith("http"):
         f += ["link", f"link {re.sub('[a-z]+', 'a', re.sub('[0-9]+', '9', tokens[-1].lower()))}"]
-    opened = [_opened(body, t) for t in ("p", "b", "i")]
-    opened += [body.count("[quote") > body.count("[/quote"), body.count("[url") > body.count("[/url"), body.count("(") > body.count(")")]
-    f += [f"open {i}" for i, o in enumerate(opened) if o]
+    if "<" in body:
+        f += [f"open {i}" for i, t in enumerate("pbi") if _opened(body, t)]
+    if "[" in body:
+        f += [f"open {i}" for i, t in ((3, "quote"), (4, "url")) if body.count(f"[{t}") > body.count(f"[/{t}")]
+    if body.count("(") > body.count(")"):
+        f.append("open 5")
     f.append(f"started {body[:3] == '<p>'} {body[-4:] == '</p>'}")
     if not (normal and tokens[-1][0].isalnum()):
         return f, (0, 0, 0), ("", "", "")
