@@ -362,8 +362,9 @@ def field_limits(docs: DataFrame) -> DataFrame:
 
 
 class Limits:
-    """The lengths of each source that stand out. Their number is bounded: each
-    needs STANDS_OUT times the texts that lengths nearby have."""
+    """The lengths of each source that stand out: as each needs STANDS_OUT times
+    the texts of the lengths nearby, about a quarter of the lengths there are at
+    most, however many texts."""
 
     def __init__(self, rows: list[tuple[str, int, int, float]]):
         self.own: dict[str, dict[int, int]] = {}
