@@ -111,7 +111,7 @@ def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = [(r["source"], thresholds(1.3, int(r["max_repeats"]))) for r in known.collect()]  # one row a source
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("_key"))
     named = docs.join(F.broadcast(known.select("source", F.lower("source").alias("_key"))), "_key")
-    return draws(named.select("doc_id", "source"), cuts, SEED)
+    return draws(named.select("doc_id", "source"), cuts, SEED).withColumn("copies", F.col("copies").cast("long"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
