@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -245,32 +246,29 @@ def demultiplex_stats(reads: DataFrame, sequence: str = "genomic_sequence") -> D
     return reads.groupBy("well").agg(F.count("*").alias("count"), F.bround(F.avg(n), 1).alias("mean_length"), F.bround(F.stddev_samp(n), 1).alias("std_length"))
 
 
-def neighbours(motifs: list[str], distance: int, alphabet: str = "ACGT") -> dict[str, int]:
-    """Every word within `distance` substitutions of a motif, with its least
-    distance."""
-    out = dict.fromkeys(motifs, 0)
-    ring = set(motifs)
-    for d in range(1, distance + 1):
-        ring = {w[:i] + c + w[i + 1 :] for w in ring for i in range(len(w)) for c in alphabet}
-        for w in ring:
-            out.setdefault(w, d)
-    return out
+def within(motifs: list[str], distance: int) -> str:
+    """A pattern of the texts that differ from one of the motifs in exactly or
+    fewer than `distance` places: those places may hold any letter."""
+    words = {"".join("." if i in places else re.escape(c) for i, c in enumerate(m)) for m in motifs for places in combinations(range(len(m)), min(distance, len(m)))}
+    return f"(?s){'|'.join(sorted(words))}"
 
 
-def heptamer_search(reads: DataFrame, alleles: DataFrame, motifs: list[str], max_distance: int = 1, begin: int = 0, end: int = 0) -> DataFrame:
+def heptamer_search(reads: DataFrame, alleles: DataFrame, motifs: list[str] | dict[str, list[str]], max_distance: int = 1, begin: int = 0, end: int = 0) -> DataFrame:
     """(db_name, full_match, trimmed_match, db_length, full_length, sequence,
     heptamer) of every read that contains the trimmed allele: the nearest motif
     after it, earlier windows first among equals; the last window is not looked
-    at. Without one, heptamer is ''."""
-    size = len(motifs[0])
-    trimmed = alleles.select(F.col("name").alias("db_name"), F.col("seq").alias("full_match"), F.substring(F.col("seq"), F.lit(begin + 1), F.length("seq") - begin - end).alias("trimmed_match"), F.length("seq").cast("long").alias("db_length"))
+    at. Without one, heptamer is ''. `motifs` are those of all alleles, or by
+    the beginning of their names; alleles that begin otherwise are left out then."""
+    by = motifs if isinstance(motifs, dict) else {"": motifs}
+    size = len(next(iter(by.values()))[0])
+    mine = reduce(lambda a, b: a | b, [F.col("name").startswith(x) for x in by])
+    trimmed = alleles.where(mine).select(F.col("name").alias("db_name"), F.col("seq").alias("full_match"), F.substring(F.col("seq"), F.lit(begin + 1), F.length("seq") - begin - end).alias("trimmed_match"), F.length("seq").cast("long").alias("db_length"))
     found = contains(reads.select("genomic_sequence"), "genomic_sequence", trimmed, "trimmed_match")
-    suffix = F.substring(F.col("genomic_sequence"), F.col("start") + F.length("trimmed_match"), F.length("genomic_sequence"))
-    # any letter but A, C, G and T differs from all of a motif's: all of them count as N
-    near = F.create_map(*[F.lit(x) for w, d in sorted(neighbours(motifs, max_distance, "ACGTN").items()) for x in (w, d)])
-    windows = F.filter(F.transform(F.sequence(F.lit(1), F.length("suffix") - size), lambda k: F.struct(F.try_element_at(near, F.substring(F.col("_plain"), k, F.lit(size))).alias("d"), k.alias("k"))), lambda x: x["d"].isNotNull())
-    best = F.when(F.length("suffix") > size, F.array_min(windows))
-    rows = found.withColumn("suffix", suffix).withColumn("_plain", F.regexp_replace("suffix", "[^ACGT]", "N")).withColumn("k", best["k"])
+    rows = found.withColumn("suffix", F.substring(F.col("genomic_sequence"), F.col("start") + F.length("trimmed_match"), F.length("genomic_sequence")))
+    seen = F.left(F.col("suffix"), F.greatest(F.length("suffix") - 1, F.lit(0)))
+    first = lambda own: F.coalesce(*[F.nullif(F.regexp_instr(seen, F.lit(within(own, d))), F.lit(0)) for d in range(max_distance + 1)])
+    k = reduce(lambda rest, x: F.when(F.col("db_name").startswith(x), first(by[x])).otherwise(rest), by, F.lit(None).cast("int"))
+    rows = rows.withColumn("k", k)
     extra = F.when(F.col("k").isNull(), "").otherwise(F.substring(F.col("suffix"), F.lit(1), F.col("k") - 1))
     motif = F.when(F.col("k").isNull(), "").otherwise(F.substring(F.col("suffix"), F.col("k"), F.lit(size)))
     return rows.select("db_name", "full_match", "trimmed_match", "db_length", (F.length("trimmed_match") + F.length(extra)).cast("long").alias("full_length"), F.concat("trimmed_match", extra).alias("sequence"), motif.alias("heptamer"))

@@ -53,7 +53,7 @@ def io_fasta(spark, d):
 
 
 def io_fasta_check(spark, d):
-    return files.check_fasta(table(spark, d, "fasta").select("name", "seq"))
+    return files.check_fasta(table(spark, d, "fasta").select("name", "seq"), True)
 
 
 def io_identifiers(spark, d):

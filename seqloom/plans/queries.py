@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,8 +130,7 @@ def demultiplex_stats(spark, d):
 
 def heptamer_search(spark, d):
     """Every locus that has motifs, each with its own."""
-    parts = [exact.heptamer_search(_reads(spark, d), _alleles(spark, d, locus=locus), motifs, 1, end=3) for locus, motifs in HEPTAMERS.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return exact.heptamer_search(_reads(spark, d), _alleles(spark, d), HEPTAMERS, 1, end=3)
 
 
 def heptamer_summary(spark, d):

@@ -87,14 +87,16 @@ def valid_identifier(name: str | Column) -> Column:
     return F.coalesce(name.rlike(IDENTIFIER) & few("_") & few("*"), F.lit(False))
 
 
-def check_fasta(df: DataFrame) -> DataFrame:
-    """(problem, n) of records with an empty name or sequence, a name that is
-    no identifier, a repeated name or sequence, a character besides A, C, G and
-    T; no rows if fine."""
+def check_fasta(df: DataFrame, identifiers_only: bool = False) -> DataFrame:
+    """(problem, n) of records with an empty name or sequence, a repeated name
+    or sequence, a character besides A, C, G and T, and with `identifiers_only` a
+    name that is no allele identifier; no rows if fine."""
     tests = {
         "empty name": F.count_if(F.coalesce(F.col("name") == "", F.lit(True))), "empty sequence": F.count_if(F.coalesce(F.col("seq") == "", F.lit(True))),
-        "bad identifier": F.count_if(~valid_identifier("name")), "other characters": F.count_if(~F.col("seq").rlike("^[ACGT]*$")),
+        "other characters": F.count_if(~F.col("seq").rlike("^[ACGT]*$")),
     }
+    if identifiers_only:
+        tests["bad identifier"] = F.count_if(~valid_identifier("name"))
     one = df.agg(*[c.alias(k) for k, c in tests.items()])
     out = one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("problem"), F.col(f"`{k}`").alias("n")) for k in tests])))
     for c, label in (("name", "repeated name"), ("seq", "repeated sequence")):
@@ -104,15 +106,15 @@ def check_fasta(df: DataFrame) -> DataFrame:
 
 def validated(df: DataFrame) -> DataFrame:
     """`df`, or ValueError with what `check_fasta` finds."""
-    problems = check_fasta(df).collect()  # six rows at most
+    problems = check_fasta(df, True).collect()  # six rows at most
     if problems:
         raise ValueError("; ".join(f"{r.n} x {r.problem}" for r in problems))
     return df
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, quality, file) of four-line records; the name is the first
-    word after "@". Lines are numbered within their file from the line counts of
+def read_fastq(spark: SparkSession, path: str, file: bool = False) -> DataFrame:
+    """(name, seq, quality) of four-line records, with the `file`'s base name if
+    asked for; the name is the first word after "@". Lines are numbered within their file from the line counts of
     its splits (one row a split), each task puts its own records together, and
     only the records that a split cuts are shuffled. An incomplete record at the
     end of a file is left out."""
@@ -149,7 +151,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     rows = whole.unionByName(joined.where(F.size("lines") == 4).select("path", "lines"))
     clean = lambda i: F.regexp_replace(F.col("lines")[i], "\r$", "")
     name = F.split_part(F.substring(clean(0), 2, 1 << 30), F.lit(" "), F.lit(1))
-    return rows.where(F.col("lines")[0].startswith("@")).select(name.alias("name"), clean(1).alias("seq"), clean(3).alias("quality"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    return rows.where(F.col("lines")[0].startswith("@")).select(name.alias("name"), clean(1).alias("seq"), clean(3).alias("quality"), *([F.regexp_extract("path", r"([^/]+)$", 1).alias("file")] if file else []))
 
 
 def _lines(rows: list[tuple]) -> pa.RecordBatch:

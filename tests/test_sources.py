@@ -23,7 +23,7 @@ def test_validation(spark):
     fine = spark.createDataFrame([("IGHV1-1*01", "ACGT"), ("IGHV1-2*02_S1234", "ACGA")], "name string, seq string")
     assert files.validated(fine).count() == 2
     bad = spark.createDataFrame([("IGHV1-1*01", "ACGT"), ("IGHV1-1*01", "ACGT"), ("x", "ACN"), (None, ""), ("A_1_2*01", None)], "name string, seq string")
-    assert {r.problem: r.n for r in files.check_fasta(bad).collect()} == {"empty name": 1, "empty sequence": 2, "bad identifier": 3, "other characters": 1, "repeated name": 1, "repeated sequence": 1}
+    assert {r.problem: r.n for r in files.check_fasta(bad, True).collect()} == {"empty name": 1, "empty sequence": 2, "bad identifier": 3, "other characters": 1, "repeated name": 1, "repeated sequence": 1}
     with pytest.raises(ValueError, match="repeated name"):
         files.validated(bad)
 
@@ -37,7 +37,7 @@ def test_fastq_over_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
-        df = files.read_fastq(spark, str(tmp_path / "*.fastq"))
+        df = files.read_fastq(spark, str(tmp_path / "*.fastq"), file=True)
         got = sorted(tuple(r) for r in df.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
