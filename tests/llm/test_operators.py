@@ -142,6 +142,23 @@ def test_hot_family_of_mixed_lengths(spark):
     assert len(mixed) > 2000 and got <= want and len(got & mixed) >= 0.97 * len(mixed)
 
 
+@pytest.mark.parametrize("group", [None, 400])
+def test_no_pair_is_lost_to_frequent_windows(spark, monkeypatch, group):
+    """Texts that share nothing but windows of many texts, all pairs of them;
+    with parts worked on whole and by groups of texts."""
+    rng = random.Random(23)
+    if group:
+        monkeypatch.setattr(near_duplicates, "GROUP", group)
+    rows = []
+    for f in range(2):
+        core = dna(rng, 200)
+        short = [core[rng.randrange(6) : 200 - rng.randrange(6)] for _ in range(20)]
+        longer = [dna(rng, n // 2) + core + dna(rng, n - n // 2) for n in (rng.randrange(150, 190) for _ in range(60))]
+        rows += [(f"f{f}_{i:03d}", x) for i, x in enumerate(short + longer)]
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(spark.createDataFrame(rows, "key string, value string"), "key", "value").collect()}
+    assert got == brute_pairs(rows, 12, 0.5)
+
+
 def test_repeats_of_a_unit_are_near_duplicates(spark):
     """The same distinct windows, however often repeated."""
     rng = random.Random(13)
