@@ -4,6 +4,7 @@ long texts, ties, repeated rows, empty tables and extra columns."""
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,41 @@ def test_no_pair_is_lost_to_frequent_windows(spark, monkeypatch, group):
     assert got == brute_pairs(rows, 12, 0.5)
 
 
+def test_chance_meetings_are_few(spark):
+    """Unrelated texts share windows by chance; hardly any of them become
+    candidates, and all true pairs do."""
+    rng = random.Random(29)
+    settings = near_duplicates.Settings(k=8)
+    texts = [s for _ in range(10) for s in family(rng)] + [dna(rng, rng.randrange(270, 330)) for _ in range(700)]
+    texts += [dna(rng, 3000)]
+    texts += [texts[-1][:2000] + dna(rng, 900)]
+    rows = [(f"r{i:04d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key string, value string")
+    want = brute_pairs(rows, 8, 0.5)
+    distinct = near_duplicates.distinct_texts(df, "key", "value", settings)[0]
+    candidates = near_duplicates.candidate_pairs(distinct, settings, len(rows)).count()
+    print(f"{candidates} candidates, {len(want)} pairs")
+    assert {tuple(r) for r in near_duplicates.near_duplicate_pairs(df, "key", "value", settings).collect()} == want
+    assert candidates < len(want) + 1000
+
+
+def test_pairs_by_two_windows_and_by_one():
+    """Both searches of a part find the same pairs as often, in one slice or
+    many; the one by two windows gives up beyond its memory."""
+    rng = np.random.default_rng(31)
+    text, h = np.unique([rng.integers(0, 400, 3000), rng.integers(0, 300, 3000)], axis=1).astype(np.uint32)
+    entries = np.sort((h.astype(np.uint64) << np.uint64(32)) | text)
+    items = lambda found: (x for a, b, n in found for x in zip(a.tolist(), b.tolist(), n.tolist()) if x[0] != x[1])
+    one = {(a, b): n for a, b, n in items(near_duplicates._by_one(entries, 400))}
+    twice = {p: n * (n - 1) // 2 for p, n in one.items() if n > 1}
+    for twos in (1 << 20, 500):
+        assert {(a, b): n for a, b, n in items([near_duplicates._by_two(text, h, twos)])} == twice
+    some = {(a, b): n for a, b, n in items(near_duplicates._by_one(entries, 50))}
+    assert twice and some == {p: n for p, n in one.items() if p[0] < 50}
+    assert near_duplicates._by_two(text, h, most=10) is None
+    assert len(near_duplicates._by_two(text[:0], h[:0])[0]) == 0
+
+
 def test_repeats_of_a_unit_are_near_duplicates(spark):
     """The same distinct windows, however often repeated."""
     rng = random.Random(13)
