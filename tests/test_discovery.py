@@ -73,6 +73,25 @@ def test_search_table(spark):
     assert aligner.search(df.limit(0), "name", "seq", spark.createDataFrame([("A*01", a)], "name string, seq string")).count() == 0
 
 
+def test_scores_first_is_the_same_alignment():
+    rng = random.Random(7)
+    subjects = [dna(rng, rng.randint(12, 80)) for _ in range(8)] + ["CA" * 30, "A" * 40, "ACGNNACGTACGTANACGATCGATCG"]
+    reads = [dna(rng, rng.randint(0, 40)) + edited(rng, rng.choice(subjects), rng.randint(0, 6)) + dna(rng, rng.randint(0, 40)) for _ in range(300)] + ["CA" * 50, "A" * 90, "N" * 30, "ACG"]
+    seeds, coded = aligner.Seeds(subjects, 8), [aligner.codes(r) for r in reads]
+    query, subject, diagonal = seeds.candidates_of(coded, 5, 16)
+    assert list(zip(query, subject, diagonal)) == [(i, *x) for i, c in enumerate(coded) for x in seeds.candidates(c, 5, 16)]
+    pairs = [coded[i] for i in query], [seeds.texts[i] for i in subject], diagonal
+    hits = aligner.align_pairs(*pairs)
+    assert hits == aligner.align_batch(*pairs) and {len(h.ops) > 1 for h in hits} == {True, False}
+
+
+def test_search_leaves_reads_where_they_are(spark):
+    df = spark.createDataFrame([("a", "ACGTACGGTTACCA" * 3), ("b", "ACGTACGGTTACCA" * 3)], "name string, seq string")
+    found = aligner.search(df, "name", "seq", spark.createDataFrame([("A*01", "ACGTACGGTTACCA" * 2)], "name string, seq string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.qseqid for r in found.collect()) == ["a", "b"]
+
+
 def test_affix_fold_by_stretches():
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("AC", weights=[5, 1], k=n))
