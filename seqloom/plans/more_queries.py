@@ -243,9 +243,10 @@ def discover_cores(spark, d):
     trimmed and named."""
     parts = materialize(allele_affixes(spark, d), "affixes")
     db = discovery.combined(discovery.extended(parts), _alleles(spark, d).where("name LIKE '%*9%'"))
-    hits = materialize(aligner.search(_reads(spark, d), "name", "genomic_sequence", db), "hits")
-    rows = discovery.cores(discovery.segment_clusters(hits, _reads(spark, d)), parts)
-    return discovery.named(discovery.selected(rows, min_count=1, min_ratio=0.1), _alleles(spark, d)).select("well", "case", "sseqid", "allele_name", "full_count", "full_ratio", "aln_qseq", "aln_mismatch", "corecov")
+    hits = materialize(aligner.search(_reads(spark, d), "name", "genomic_sequence", db, best=True), "hits")
+    clusters = materialize(discovery.segment_clusters(hits, _reads(spark, d)), "clusters")
+    rows = materialize(discovery.selected(discovery.cores(clusters, parts), min_count=1, min_ratio=0.1), "cores")
+    return discovery.named(rows, _alleles(spark, d)).select("well", "case", "sseqid", "allele_name", "full_count", "full_ratio", "aln_qseq", "aln_mismatch", "corecov")
 
 
 def align_reads(spark, d):

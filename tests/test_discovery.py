@@ -92,6 +92,18 @@ def test_search_leaves_reads_where_they_are(spark):
     assert sorted(r.qseqid for r in found.collect()) == ["a", "b"]
 
 
+def test_best_hit_of_a_search(spark):
+    rng = random.Random(8)
+    db = [(f"V*{i:02}", dna(rng, 60)) for i in range(6)]
+    db += [("V*01", edited(rng, db[1][1], 3)), ("V*90", db[2][1])]
+    reads = [(f"r{i}", dna(rng, 15) + edited(rng, rng.choice(db)[1], i % 4) + dna(rng, 15) + edited(rng, rng.choice(db)[1], 2)) for i in range(120)] + [("none", "ACGT"), ("null", None)]
+    reads = spark.createDataFrame(reads, "name string, seq string")
+    subjects = spark.createDataFrame(db, "name string, seq string")
+    hits = discovery.best_hits(aligner.search(reads, "name", "seq", subjects))
+    best = aligner.search(reads, "name", "seq", subjects, best=True)
+    assert sorted(best.collect()) == sorted(hits.select(best.columns).collect()) and best.count() == 120
+
+
 def test_affix_fold_by_stretches():
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("AC", weights=[5, 1], k=n))
