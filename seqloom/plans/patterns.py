@@ -3,7 +3,8 @@ their own, and profiles of their ends."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from . import exact, trimming
 # Fixed value: the tag of a read's end: random bases around GT, 22 bases, 9 bases
 UMI = r"([ACGT]{3}GT[ACGT]{3})([ACGT]{22})([ACGT]{9})$"
 
+#: where the dot of a pattern ends
+LINE = re.compile("[\n\r\u0085\u2028\u2029]")
+
 
 def unambiguous(reads: DataFrame, column: str = "genomic_sequence") -> DataFrame:
     """Rows with a non-empty text of A, C, G and T only."""
@@ -155,6 +159,60 @@ def frequent_flanks(reads: DataFrame, alleles: DataFrame, min_length: int = 16,
     return rows.where(F.col("count") >= min_count).groupBy("side", "flank").agg(F.count("*").alias("wells")).where(F.col("wells") >= min_wells)
 
 
+def first_pairs(prefixes: list[tuple[int, str]], suffixes: list[tuple[int, str]], shortest: int, longest: int) -> Callable[[str | None], str | None]:
+    """A function that finds a text's hit of `between_flanks`: of the first pair
+    that fits, in the first line that has it, the last start and the nearest end
+    there. All flanks are looked up at once, so pairs cost nothing by themselves."""
+    import ahocorasick
+
+    place = lambda x: {v: i for i, v in enumerate(sorted(set(x)))}
+    by_p, by_s = (place([-w for w, _ in x]) for x in (prefixes, suffixes))
+    texts_p, texts_s = (place([f for _, f in x]) for x in (prefixes, suffixes))
+    # pairs go by the prefix's number, the suffix's, then their texts
+    rank_p = {f: (by_p[-w], texts_p[f]) for w, f in reversed(prefixes)}
+    rank_s = {f: (by_s[-w], texts_s[f]) for w, f in reversed(suffixes)}
+    automaton = ahocorasick.Automaton()
+    for f in {*rank_p, *rank_s} - {""}:
+        automaton.add_word(f, (len(f), rank_p.get(f), rank_s.get(f)))
+    if len(automaton):
+        automaton.make_automaton()
+
+    def find(text: str | None) -> str | None:
+        if not text or not rank_p or not rank_s:
+            return None
+        best, hit = None, None
+        for line in LINE.split(text):
+            starts, ends = [], []
+            for end, (size, p, s) in automaton.iter(line) if len(automaton) else ():
+                if p is not None:
+                    starts.append((end + 1, p))
+                if s is not None:
+                    ends.append((end + 1 - size, s))
+            if "" in rank_p:
+                starts = sorted(starts + [(i, rank_p[""]) for i in range(len(line) + 1)])
+            if "" in rank_s:
+                ends += [(i, rank_s[""]) for i in range(len(line) + 1)]
+            if not starts or not ends:
+                continue
+            ends.sort()
+            own, low, n = None, 0, len(ends)
+            for i, p in starts:
+                while low < n and ends[low][0] < i + shortest:
+                    low += 1
+                k = low
+                while k < n and ends[k][0] <= i + longest:
+                    j, s = ends[k]
+                    key = (p[0], s[0], p[1], s[1], -i, j)
+                    if own is None or key < own:
+                        own = key
+                    k += 1
+            if own is not None and (best is None or own[:4] < best):
+                best, hit = own[:4], line[-own[4] : own[5]]
+        return hit
+
+    return find
+
+
 def between_flanks(reads: DataFrame, flanks: DataFrame, trim_ends: int = 30, flank: int = 100, shortest: int = 15, longest: int = 40) -> DataFrame:
     """(well, case, name, hit, hit_prefix, hit_suffix) of reads without their
     ends: the text between the first pair of flanks that fits, pairs ordered by
@@ -162,12 +220,22 @@ def between_flanks(reads: DataFrame, flanks: DataFrame, trim_ends: int = 30, fla
     `flanks` comes from `frequent_flanks`; all its pairs are patterns."""
     rows = flanks.collect()  # the frequent ones only
     side = lambda s: sorted(((r.wells, r.flank) for r in rows if r.side == s), key=lambda x: (-x[0], x[1]))
-    pairs = sorted(((p, s) for p in side("prefix") for s in side("suffix")), key=lambda x: (-x[0][0], -x[1][0], x[0][1], x[1][1]))
+    prefixes, suffixes = side("prefix"), side("suffix")
     body = F.substring("genomic_sequence", F.lit(trim_ends + 1), F.greatest(F.lit(0), F.length("genomic_sequence") - 2 * trim_ends))
     out = reads.where(F.length("genomic_sequence") > 2 * trim_ends).select("well", "case", "name", body.alias("_read"))
-    match = lambda p, s: F.nullif(F.regexp_extract("_read", f".*(?<={p})(.{{{shortest},{longest}}}?)(?={s})", 1), F.lit(""))
-    hit = F.coalesce(*[match(p, s) for (_, p), (_, s) in pairs]) if pairs else F.lit(None).cast("string")
-    out = out.withColumn("hit", hit).where("hit IS NOT NULL")
+    if all(f.isalnum() or not f for _, f in prefixes + suffixes):
+
+        @F.pandas_udf(T.StringType())
+        def hit(read: pd.Series) -> pd.Series:
+            find = first_pairs(prefixes, suffixes, shortest, longest)
+            return pd.Series([find(x) for x in read], dtype="object")
+
+        found = hit("_read")
+    else:  # letters that a pattern reads otherwise
+        pairs = sorted(((p, s) for p in prefixes for s in suffixes), key=lambda x: (-x[0][0], -x[1][0], x[0][1], x[1][1]))
+        match = lambda p, s: F.nullif(F.regexp_extract("_read", f".*(?<={p})(.{{{shortest},{longest}}}?)(?={s})", 1), F.lit(""))
+        found = F.coalesce(*[match(p, s) for (_, p), (_, s) in pairs]) if pairs else F.lit(None).cast("string")
+    out = out.withColumn("hit", found).where("hit IS NOT NULL")
     start = F.instr("_read", F.col("hit"))
     first = F.greatest(F.lit(1), start - flank)
     return out.select("well", "case", "name", "hit", F.substring("_read", first, start - first).alias("hit_prefix"), F.substring("_read", start + F.length("hit"), F.lit(flank)).alias("hit_suffix"))

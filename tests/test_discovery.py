@@ -3,6 +3,7 @@ against brute force."""
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,6 +105,25 @@ def test_best_hit_of_a_search(spark):
     assert sorted(best.collect()) == sorted(hits.select(best.columns).collect()) and best.count() == 120
 
 
+def test_hits_between_many_flanks(spark):
+    rng = random.Random(9)
+    flanks = [(side, f, rng.randint(1, 6)) for side in ("prefix", "suffix") for f in sorted({dna(rng, rng.choice([3, 4, 7])) for _ in range(60)})] + [("prefix", "", 1)]
+    reads = [(1, "c", f"r{i}", dna(rng, rng.randint(5, 150))) for i in range(150)] + [(1, "c", "lines", dna(rng, 60) + "\n" + dna(rng, 60)), (1, "c", "null", None)]
+    pairs = sorted(((p, s) for p in flanks for s in flanks if (p[0], s[0]) == ("prefix", "suffix")), key=lambda x: (-x[0][2], -x[1][2], x[0][1], x[1][1]))
+    expected = {}
+    for _, _, name, read in reads:
+        body = (read or "")[5:-5]
+        for p, s in pairs if len(read or "") > 10 else ():
+            if m := re.search(f".*(?<={p[1]})(.{{8,40}}?)(?={s[1]})", body):
+                expected[name] = m[1]
+                break
+    df = spark.createDataFrame(flanks, "side string, flank string, wells long")
+    hits = patterns.between_flanks(spark.createDataFrame(reads, "well long, case string, name string, genomic_sequence string"), df, 5, 100, 8, 40)
+    assert {r.name: r.hit for r in hits.collect()} == expected and len(expected) > 100
+    none = patterns.between_flanks(spark.createDataFrame(reads, "well long, case string, name string, genomic_sequence string"), df.where("side = 'prefix'"), 5, 100, 8, 40)
+    assert none.count() == 0
+
+
 def test_affix_fold_by_stretches():
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("AC", weights=[5, 1], k=n))
