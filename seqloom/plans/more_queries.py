@@ -412,7 +412,7 @@ def flank_hits(spark, d):
 
 
 def flank_alleles(spark, d):
-    return patterns.annotate(flank_hits(spark, d), _alleles(spark, d, "D"))
+    return patterns.annotate(materialize(flank_hits(spark, d), "hits"), _alleles(spark, d, "D"))
 
 
 def gene_fragments(spark, d):

@@ -247,17 +247,16 @@ def best_alignments(hits: DataFrame, column: str, alleles: DataFrame) -> DataFra
     among equals; scores must be positive), its edits, the gaps in it, and the
     allele's stretch."""
     known = [tuple(r) for r in alleles.where("seq <> ''").select("name", "seq").orderBy("name", "seq").collect()]  # a reference dictionary
+    sequences = [s for _, s in known]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for value in batch.column(0).to_pylist():
-                best = None
-                for (name, seq), (first, end, _, score, edits, gaps) in zip(known, trimming.align_many(value, [s for _, s in known]) if known else ()):
-                    if score > 0 and (best is None or score > best[4]):
-                        best = (value, name, edits, gaps, score, seq[first:end])
-                if best:
-                    out.append(best)
+                best = trimming.align_best(value, sequences)
+                if best and best[1][3] > 0:
+                    (name, seq), (first, end, _, score, edits, gaps) = known[best[0]], best[1]
+                    out.append((value, name, edits, gaps, score, seq[first:end]))
             columns = list(zip(*out)) or [()] * 6
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["value", "best_name", "distance", "gaps", "score", "best_ref"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom import cli
 from seqloom.operators import aligner, dictionary, tables
-from seqloom.plans import clusters, cohort, discovery, dscan, exact, genome, patterns, simulate
+from seqloom.plans import clusters, cohort, discovery, dscan, exact, genome, patterns, simulate, trimming
 
 
 def dna(rng, n):
@@ -124,6 +124,18 @@ def test_hits_between_many_flanks(spark):
     assert none.count() == 0
 
 
+def test_best_of_many_alignments():
+    rng = random.Random(10)
+    for _ in range(40):
+        reads = [dna(rng, rng.randint(1, 30)) for _ in range(12)]
+        value = edited(rng, rng.choice(reads) + dna(rng, 3), 2) or "A"
+        every = trimming.align_many(value, reads)
+        best = max(range(12), key=lambda i: (every[i][3], -i))
+        for cells in (1 << 22, 2000):
+            assert trimming.align_best(value, reads, cells) == (best, every[best])
+    assert trimming.align_best("ACGT", []) is None
+
+
 def test_affix_fold_by_stretches():
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("AC", weights=[5, 1], k=n))
