@@ -375,7 +375,7 @@ def clustered(segments: DataFrame, alleles: DataFrame, blacklist: DataFrame | No
     length_db, ratio) of (case, sequence) rows: equal ones counted, with the
     nearest allele, and the ratio to the case's largest count. Sequences with
     other letters, and those that are part of a `blacklist` (seq), drop out."""
-    groups = segments.where("sequence <> ''").groupBy("case", "sequence").agg(F.count("*").alias("count"))
+    groups = materialize(segments.where("sequence <> ''").groupBy("case", "sequence").agg(F.count("*").alias("count")), "groups")
     near = exact.nearest(groups, "sequence", alleles).select(F.col("value").alias("sequence"), F.col("nearest").alias("closest"), "distance")
     sizes = alleles.groupBy(F.col("name").alias("closest")).agg(F.max(F.length("seq")).cast("long").alias("length_db"))
     rows = groups.join(near, "sequence").join(sizes, "closest")
@@ -414,23 +414,53 @@ def kmer_index(reads: DataFrame, k: int, column: str = "genomic_sequence") -> Da
     return rows.select(F.explode(kmers("read", k)).alias("kmer"), "read")
 
 
-def combination_search(reads: DataFrame, alleles: DataFrame, k: int = 7, n: int = 3, combinations: int = 100, seed: int = 1, column: str = "genomic_sequence") -> DataFrame:
-    """(gene, read): distinct reads that contain all n k-mers of one of a
-    gene's `combinations`, drawn by a seeded hash from the k-mers that all its
-    alleles have and no other gene's have. Only drawn k-mers are looked up."""
+def with_combinations(reads: DataFrame, alleles: DataFrame, k: int = 7, n: int = 3, combinations: int = 100, seed: int = 1, column: str = "genomic_sequence") -> DataFrame:
+    """Unambiguous rows of `reads` with `gene`, a row a gene, that contain all n
+    k-mers of one of the gene's `combinations`, drawn by a seeded hash from the
+    k-mers that all its alleles have and no other gene's have. Only drawn k-mers
+    are looked up, and reads stay where they are."""
     own = gene_fragments(alleles, k, k).select("gene", "fragment")
     draw = own.select("gene", "fragment", F.explode(F.sequence(F.lit(1), F.lit(combinations))).alias("combination"))
     w = Window.partitionBy("gene", "combination").orderBy(F.xxhash64("fragment", "combination", F.lit(seed)), "fragment")
-    drawn = draw.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    drawn = draw.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy("gene", "combination").agg(F.collect_set("fragment").alias("f")).where(F.size("f") == n)
+    sets = [(r.gene, frozenset(r.f)) for r in drawn.select("gene", "f").distinct().collect()]  # `combinations` a gene
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of: dict[str, list[tuple[str, frozenset[str]]]] = {}
+        for gene, some in sets:
+            of.setdefault(min(some), []).append((gene, some))
+        automaton = ahocorasick.Automaton()
+        for f in {f for _, some in sets for f in some}:
+            automaton.add_word(f, f)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            rows, genes = [], []
+            for i, read in enumerate(batch.column(column).to_pylist() if len(automaton) else []):
+                seen = {f for _, f in automaton.iter(read)}
+                if len(seen) < n:
+                    continue
+                found = {gene for f in seen for gene, some in of.get(f, ()) if some <= seen}
+                rows += [i] * len(found)
+                genes += found
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(genes, pa.string())], names=[*batch.schema.names, "gene"])
+
+    clean = unambiguous(reads, column)
+    return clean.mapInArrow(run, T.StructType([*clean.schema.fields, T.StructField("gene", T.StringType())]))
+
+
+def combination_search(reads: DataFrame, alleles: DataFrame, k: int = 7, n: int = 3, combinations: int = 100, seed: int = 1, column: str = "genomic_sequence") -> DataFrame:
+    """(gene, read): the distinct reads of `with_combinations`."""
     texts = unambiguous(reads, column).select(F.col(column).alias("read")).distinct()
-    hits = contains(texts, "read", drawn.select("fragment").distinct(), "fragment").select("read", "fragment")
-    return hits.join(drawn, "fragment").groupBy("gene", "combination", "read").agg(F.count("*").alias("c")).where(F.col("c") == n).select("gene", "read").distinct()
+    return with_combinations(texts, alleles, k, n, combinations, seed, "read").select("gene", "read")
 
 
 def discover_by_combinations(reads: DataFrame, alleles: DataFrame, k: int = 7, n: int = 3, combinations: int = 100, flank: int = 21, min_length: int = 200, max_distance: int = 10, min_count: int = 5, min_ratio: float = 0.1) -> DataFrame:
-    """Clusters of the reads `combination_search` finds, cut by end profiles;
+    """Clusters of the reads `with_combinations` finds, cut by end profiles;
     those near an allele, frequent in themselves and in their case."""
-    found = combination_search(reads, alleles, k, n, combinations).withColumnRenamed("read", "genomic_sequence")
-    rows = reads.select("case", "genomic_sequence").join(found, "genomic_sequence")
+    rows = with_combinations(reads.select("case", "genomic_sequence"), alleles, k, n, combinations)
     segments = profile_segments(rows.select("gene", "case", "genomic_sequence"), end_profiles(alleles, flank), min_length)
     return clustered(segments, alleles).where((F.col("distance") <= max_distance) & (F.col("count") >= min_count) & (F.col("ratio") >= min_ratio))

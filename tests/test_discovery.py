@@ -136,6 +136,19 @@ def test_best_of_many_alignments():
     assert trimming.align_best("ACGT", []) is None
 
 
+def test_combinations_leave_reads_where_they_are(spark):
+    rng = random.Random(11)
+    db = [(f"IGHV{g}*01", dna(rng, 70)) for g in range(3)]
+    reads = [("c1", dna(rng, 10) + s + dna(rng, 10)) for _, s in db for _ in range(2)] + [("c2", db[0][1]), ("c2", db[0][1] + db[1][1]), ("c2", db[0][1] + "N"), ("c2", dna(rng, 60)), ("c2", ""), ("c2", None)]
+    df = spark.createDataFrame(reads, "case string, genomic_sequence string")
+    alleles = spark.createDataFrame(db, "name string, seq string")
+    found = patterns.with_combinations(df, alleles, 9, 3, 40)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = [(case, read, name.split("*")[0]) for case, read in reads if read and "N" not in read for name, s in db if s in read]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    assert {(r.gene, r.read) for r in patterns.combination_search(df, alleles, 9, 3, 40).collect()} == {(g, r) for _, r, g in expected}
+
+
 def test_affix_fold_by_stretches():
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("AC", weights=[5, 1], k=n))
