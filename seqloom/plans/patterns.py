@@ -370,18 +370,21 @@ def profile_segments(reads: DataFrame, profiles: dict[str, tuple[np.ndarray, np.
     return reads.select("gene", "case", "genomic_sequence").mapInArrow(run, "gene string, case string, genomic_sequence string, sequence string")
 
 
-def clustered(segments: DataFrame, alleles: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
+def clustered(segments: DataFrame, alleles: DataFrame, blacklist: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
     """(case, sequence, count, closest, distance, allele_name, gene, length,
     length_db, ratio) of (case, sequence) rows: equal ones counted, with the
     nearest allele, and the ratio to the case's largest count. Sequences with
-    other letters, and those that are part of a `blacklist` (seq), drop out."""
+    other letters, and those that are part of a `blacklist` (seq), drop out. Only
+    rows with `keep`, a condition on count and ratio, are compared with alleles."""
     groups = materialize(segments.where("sequence <> ''").groupBy("case", "sequence").agg(F.count("*").alias("count")), "groups")
+    groups = groups.withColumn("ratio", F.col("count") / F.max("count").over(Window.partitionBy("case")))
+    if keep is not None:
+        groups = materialize(groups.where(keep), "kept")
     near = exact.nearest(groups, "sequence", alleles).select(F.col("value").alias("sequence"), F.col("nearest").alias("closest"), "distance")
     sizes = alleles.groupBy(F.col("name").alias("closest")).agg(F.max(F.length("seq")).cast("long").alias("length_db"))
     rows = groups.join(near, "sequence").join(sizes, "closest")
     name = F.when(F.col("distance") == 0, F.col("closest")).otherwise(F.concat(unique_name("closest", "sequence"), F.lit(" Novel")))
     rows = rows.withColumn("allele_name", name).withColumn("gene", gene_of("allele_name")).withColumn("length", F.length("sequence").cast("long"))
-    rows = rows.withColumn("ratio", F.col("count") / F.max("count").over(Window.partitionBy("case")))
     rows = unambiguous(rows, "sequence")
     if blacklist is not None:
         listed = contains(blacklist.where("seq <> ''").select("seq"), "seq", rows.select(F.col("sequence").alias("_v")).distinct(), "_v").select(F.col("_v").alias("sequence")).distinct()
@@ -463,4 +466,4 @@ def discover_by_combinations(reads: DataFrame, alleles: DataFrame, k: int = 7, n
     those near an allele, frequent in themselves and in their case."""
     rows = with_combinations(reads.select("case", "genomic_sequence"), alleles, k, n, combinations)
     segments = profile_segments(rows.select("gene", "case", "genomic_sequence"), end_profiles(alleles, flank), min_length)
-    return clustered(segments, alleles).where((F.col("distance") <= max_distance) & (F.col("count") >= min_count) & (F.col("ratio") >= min_ratio))
+    return clustered(segments, alleles, keep=(F.col("count") >= min_count) & (F.col("ratio") >= min_ratio)).where(F.col("distance") <= max_distance)

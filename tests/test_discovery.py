@@ -149,6 +149,16 @@ def test_combinations_leave_reads_where_they_are(spark):
     assert {(r.gene, r.read) for r in patterns.combination_search(df, alleles, 9, 3, 40).collect()} == {(g, r) for _, r, g in expected}
 
 
+def test_ratios_count_what_is_not_compared(spark):
+    db = spark.createDataFrame([("IGHV1*01", "ACGTACGGTTACCAGT")], "name string, seq string")
+    rows = [("c", "ACGTACGGTTACCAGT")] * 10 + [("c", "ACGTACGGTTACCAGA")] * 4 + [("c", "ACGTACGGTTACCACC")] + [("c", "TTTTTTTTTTTTTTTT")] * 20 + [("c", "ACGTNCGGTTACCAGT")] * 25
+    found = spark.createDataFrame(rows, "case string, sequence string")
+    every = patterns.clustered(found, db)
+    kept = patterns.clustered(found, db, keep=(F.col("count") >= 2) & (F.col("ratio") >= 0.2))
+    assert {(r.sequence, r["count"], r.ratio) for r in kept.collect()} == {("ACGTACGGTTACCAGT", 10, 0.4), ("TTTTTTTTTTTTTTTT", 20, 0.8)}
+    assert sorted(kept.collect()) == sorted(every.where("count >= 2 AND ratio >= 0.2").collect())
+
+
 def test_affix_fold_by_stretches():
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("AC", weights=[5, 1], k=n))
