@@ -195,6 +195,37 @@ def test_pairs_by_two_windows_and_by_one():
     assert len(near_duplicates._by_two(text[:0], h[:0])[0]) == 0
 
 
+@pytest.mark.parametrize("slices", [2, 7, 300])
+def test_slices_of_a_part_find_what_the_part_finds(slices):
+    """All pairs that meet often enough in a part meet in one of its slices,
+    and what the slices are sent doesn't grow with their number."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(37)
+    low, high = near_duplicates._bounds(5, 1)
+    pool = rng.integers(low, high, 3000)
+    families = [rng.choice(pool, 9, replace=False) for _ in range(40)]
+    own = [np.unique(np.concatenate((rng.choice(families[i % 40], rng.integers(2, 9), replace=False), rng.choice(pool, 3)))) for i in range(400)]
+    count = np.array([len(x) for x in own])
+    sizes = np.where(np.arange(400) % 10, 313, 30)  # some may meet but once
+    blocks, at = [], np.append(0, np.cumsum(count))
+    h, number = np.concatenate(own), np.arange(400) + (7 << 16)
+    for i in (200, 0):  # blocks come in any order
+        blocks.append(near_duplicates._row(5, near_duplicates._pack(h[at[i] : at[i + 200]], count[i : i + 200], number[i : i + 200], sizes[i : i + 200])))
+    settings = near_duplicates.Settings()
+    pairs = lambda found: {tuple(sorted(p)) for x in found for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+    whole = pairs(near_duplicates._meet((pa.scalar(5),), iter(blocks), settings, 1))
+    sent, found = 0, set()
+    for x in near_duplicates._sliced(iter(blocks), slices):
+        part = x.column("part")[0].as_py()
+        assert part // slices == 5
+        sent += len(near_duplicates._unpack(x.column("entries")[0].as_py())[0])
+        found |= pairs(near_duplicates._meet((pa.scalar(part),), iter([x]), settings, slices))
+    assert len(whole) > 500 and whole <= found
+    assert sent <= (count * (count + 1) // 2).sum()
+
+
 def test_repeats_of_a_unit_are_near_duplicates(spark):
     """The same distinct windows, however often repeated."""
     rng = random.Random(13)
